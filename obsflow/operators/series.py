@@ -224,20 +224,25 @@ def nearest_join(
 
 
 def autocorrelation(series: DataFrame, max_lag: int = 40) -> DataFrame:
-    """``(key, lag, acf)`` for lags 0..max_lag with the usual biased estimator."""
-    mean = F.avg("y").over(W.partitionBy("key"))
-    centred = series.select("key", "ds", (F.col("y") - mean).alias("d"))
-    lagged = centred.select(
-        "key", "d", *[F.lag("d", k).over(per_key()).alias(f"d{k}") for k in range(1, max_lag + 1)]
-    )
-    sums = lagged.groupBy("key").agg(
-        F.sum(F.col("d") * F.col("d")).alias("s0"),
-        *[F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, max_lag + 1)],
-    )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(k).alias("lag"), (F.col(f"s{k}") / F.nullif(F.col("s0"), F.lit(0.0))).alias("acf"))
-            for k in range(max_lag + 1)
-        ]
+    """``(key, lag, acf)`` for lags 0..max_lag with the usual biased estimator.
+
+    A key's series becomes one array (one number per calendar day) that is multiplied with its own
+    shifted slices.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ds", "y")))
+    arrays = (
+        series.where(F.col("y").isNotNull())
+        .groupBy("key")
+        .agg(F.transform(ordered, lambda s: s["y"]).alias("ys"), F.avg("y").alias("mean"))
+        .select("key", F.transform("ys", lambda y: y - F.col("mean")).alias("d"))
+        .select("key", "d", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     )
-    return sums.select("key", F.inline(pairs))
+
+    def shifted(k: Column) -> Column:
+        left = F.slice("d", F.lit(1), F.greatest(F.size("d") - k, F.lit(0)))
+        right = F.slice("d", k + 1, F.greatest(F.size("d") - k, F.lit(0)))
+        products = F.zip_with(left, right, lambda a, b: a * b)
+        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+
+    acf = shifted(F.col("lag")) / F.nullif(shifted(F.lit(0)), F.lit(0.0))
+    return arrays.select("key", "lag", acf.alias("acf"))

@@ -221,7 +221,7 @@ def join_lookup(t: Tables):
     return joins.lookup(placed, some, ["n_regionkey"]).select("c_custkey", "n_name", "r_name")
 
 
-EVENT_TYPES = ["click", "error", "purchase", "scroll", "view"]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 @query(
