@@ -1,0 +1,117 @@
+"""Streaming jobs on the test tables; every stream runs to the end of what is there and stops."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from obsflow.operators import forecast
+from obsflow.operators import series as ops
+from obsflow.plans.anomalies import fixed_model
+from obsflow.plans.catalog import Tables, query, r6
+from obsflow.session import checkpointed
+from obsflow.streaming import jobs
+
+
+@query(
+    "batch_relative_zscore",
+    """
+    WITH e AS (SELECT event_id, value, CAST(ts AS DATE) AS day FROM events),
+    s AS (SELECT day, avg(value) AS mu, greatest(stddev_pop(value), 1e-9) AS sigma, count(*) AS n FROM e GROUP BY 1)
+    SELECT event_id, day, CASE WHEN n < 330 THEN 'rejected' ELSE 'scored' END AS status,
+           CASE WHEN n >= 330 THEN round((value - mu) / sigma, 6) END AS z, CASE WHEN n >= 330 THEN abs((value - mu) / sigma) > 3 END AS anomaly_zscore
+    FROM e JOIN s USING (day)
+    """,
+)
+def batch_relative_zscore(t: Tables):
+    events = t.events.select("event_id", "value", F.to_date("ts").alias("day"))
+    judged = jobs.judge_groups(events, "day", "value", min_batch=330)
+    return judged.select("event_id", "day", "status", r6("z"), "anomaly_zscore")
+
+
+@query("micro_batch_detection")
+def micro_batch_detection(t: Tables):
+    from obsflow.plans.profiling import scratch
+
+    folder = scratch(t, "detect")
+    stream = jobs.file_stream(t.spark, t.folder, "events.parquet").select(
+        "event_id", F.col("value").alias("v"), F.col("user_id").cast("double").alias("u"), F.hour("ts").cast("double").alias("h")
+    )
+    jobs.detect_in_batches(
+        stream, ["v", "u", "h"], value="v", id_cols=["event_id"], folder=folder, n_trees=50
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/results").select("event_id", "z", "anomaly_zscore", "if_score", "anomaly_if")
+
+
+@query(
+    "score_stream",
+    """SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - 25.0) / 14.0, 6) AS z, abs((l_quantity - 25.0) / 14.0) > 1.5 AS anomaly_zscore FROM lineitem""",
+)
+def score_stream(t: Tables):
+    stream = jobs.file_stream(t.spark, t.folder, "lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"
+    )
+    scored = jobs.run_available(jobs.score_stream(stream, fixed_model(), temperature="l_quantity"), mode="append")
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", r6("z"), "anomaly_zscore")
+
+
+@query(
+    "stream_daily_mean",
+    "SELECT event_type AS key, CAST(ts AS DATE) AS ds, round(avg(value), 6) AS y, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def stream_daily_mean(t: Tables):
+    stream = jobs.file_stream(t.spark, t.folder, "events.parquet")
+    daily = jobs.daily_mean(stream, "ts", "value", key=F.col("event_type"))
+    return jobs.run_available(daily, mode="complete").select("key", "ds", r6("y"), "n")
+
+
+@query(
+    "sliding_mean",
+    """
+    WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS s, count(*) AS n FROM events GROUP BY 1),
+    w AS (SELECT day - CAST(k AS INTEGER) AS start, s, n FROM d, (SELECT unnest(range(0, 7)) AS k))
+    SELECT CAST(start AS TIMESTAMP) AS window_start, round(sum(s) / sum(n), 6) AS y, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY 1
+    """,
+)
+def sliding_mean(t: Tables):
+    means = jobs.sliding_mean(t.events, "ts", "value")
+    return means.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), r6("y"), "n")
+
+
+@query(
+    "sessions",
+    """
+    WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+    g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM l)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM g GROUP BY user_id, s
+    """,
+)
+def sessions(t: Tables):
+    found = jobs.sessions(t.events, "ts", "user_id", gap="12 hours")
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")]
+    return found.select("user_id", *times, "n")
+
+
+@query(
+    "forecast_requests",
+    """
+    WITH d AS (SELECT event_type AS key, CAST(ts AS DATE) AS ds, avg(value) AS y FROM events GROUP BY 1, 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ds DESC) AS back FROM d),
+    r AS (SELECT c_custkey AS request_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'click' WHEN c_mktsegment = 'MACHINERY' THEN 'nothing' ELSE 'view' END AS key,
+            CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 0 ELSE c_nationkey + 1 END AS horizon FROM customer)
+    SELECT request_id, r.key, horizon, 'ok' AS status, CAST(h.step AS INTEGER) AS step, round(y, 6) AS y_hat
+    FROM r JOIN (SELECT unnest(range(1, 366)) AS step) h ON h.step <= horizon JOIN b ON b.key = r.key AND back <= 7 AND 8 - back = (h.step - 1) % 7 + 1
+    WHERE horizon >= 1
+    UNION ALL SELECT request_id, key, horizon, CASE WHEN horizon < 1 THEN 'rejected' ELSE 'unavailable' END, NULL, NULL FROM r
+    WHERE horizon < 1 OR key = 'nothing'
+    """,
+)
+def forecast_requests(t: Tables):
+    panel = ops.daily_mean(t.events, "ts", "value", key="event_type")
+    forecasts = checkpointed(forecast.seasonal_naive(panel, jobs.MAX_HORIZON))
+    segment = F.col("c_mktsegment")
+    requests = t.customer.select(
+        F.col("c_custkey").alias("request_id"),
+        F.when(segment == "BUILDING", "click").when(segment == "MACHINERY", "nothing").otherwise("view").alias("key"),
+        F.when(segment == "HOUSEHOLD", 0).otherwise(F.col("c_nationkey") + 1).alias("horizon"),
+    )
+    return jobs.serve_forecasts(requests, forecasts).withColumn("y_hat", r6("y_hat"))
