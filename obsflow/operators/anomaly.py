@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from obsflow.functions.scalar import EULER_GAMMA, detected_by, iso_utc, number, standardize
 from obsflow.operators.quantiles import medians, quantiles
-from obsflow.session import broadcast_if_small, checkpointed
+from obsflow.session import broadcast_if_small, checkpointed, spread
 
 # The floor of the deviation, the forest's default features and sizes, leaf markers.
 SIGMA_FLOOR = 1e-9
@@ -278,13 +278,16 @@ def fit_anomaly_models(
         return pd.DataFrame([{"tree_id": tree_id, **tree}])
 
     # Model-sized: at most n_trees rows of 2 * max_samples nodes.
-    trees = samples.groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA).orderBy("tree_id").collect()
+    tasks = min(n_trees, df.sparkSession.sparkContext.defaultParallelism)
+    grown = samples.repartition(tasks, "tree_id").groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA)
+    trees = grown.orderBy("tree_id").collect()
     return AnomalyModel(features, **p, max_samples=size, trees=[r.asDict() for r in trees], threshold=threshold)
 
 
 def with_offset(model: AnomalyModel, scored: DataFrame, contamination: float) -> AnomalyModel:
     """The model with the score below which a share of ``contamination`` of the rows lies."""
-    offset = quantiles(scored, ["if_score"], {"offset": contamination}).first()["offset"]
+    cut = quantiles(scored, ["if_score"], {"offset": contamination}, max_distinct=0)
+    offset = cut.first()["offset"]
     return AnomalyModel(**{**model.__dict__, "offset": offset})
 
 
@@ -297,7 +300,7 @@ def isolation_forest(
     flags.
     """
     model = fit_anomaly_models(df, features=features, **fit_settings)
-    scored = checkpointed(model.score(df))
+    scored = checkpointed(model.score(spread(df)))
     model = with_offset(model, scored, contamination)
     return scored.withColumn("anomaly_if", F.col("if_score") < model.offset), model
 

@@ -373,7 +373,7 @@ def train_early_stopped(
     """
     settings = {**EARLY, **params}
     most = settings.pop("maxIter")
-    rounds = min(2 * patience, most)
+    rounds = min(patience + 16, most)
     while True:
         model = GBTRegressor(seed=seed, maxIter=rounds, **settings).fit(train)
         kept, settled = best_round(model.evaluateEachIteration(val, "squared"), patience)

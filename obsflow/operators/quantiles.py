@@ -32,11 +32,21 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     return long.where(F.col("value").isNotNull())
 
 
-def few_distinct(df: DataFrame, cols: Sequence[str], by: Sequence[str], limit: int) -> list[str]:
-    """Columns with at most about ``limit`` distinct values over all groups: one sketch pass, one row."""
-    sketches = [F.approx_count_distinct(number(F.col(f"`{c}`"))).alias(f"d{i}") for i, c in enumerate(cols)]
-    totals = df.groupBy(*by).agg(*sketches).agg(*[F.sum(f"d{i}") for i in range(len(cols))]).first()
-    return [c for c, d in zip(cols, totals) if (d or 0) <= limit]
+def column_stats(
+    df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), *, sketch: bool = False
+) -> DataFrame:
+    """``(by..., feature, n, lo, hi, distinct)``, stored; one pass, ``distinct`` is an optional sketch."""
+    items = []
+    for c in cols:
+        v = number(F.col(f"`{c}`"))
+        items.append(
+            F.struct(
+                F.lit(c).alias("feature"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                (F.approx_count_distinct(v) if sketch else F.count(v)).alias("distinct"),
+            )
+        )
+    stats = df.groupBy(*by).agg(F.array(*items).alias("f")).select(*by, F.inline("f"))
+    return checkpointed(stats.where(F.col("n") > 0))
 
 
 def order_statistics(
@@ -45,6 +55,7 @@ def order_statistics(
     ranks: dict[str, RankFn],
     *,
     by: Sequence[str] = (),
+    stats: DataFrame | None = None,
     bins: int = 4096,
     count_rows: int = 200_000,
 ) -> DataFrame:
@@ -57,11 +68,7 @@ def order_statistics(
     group = [*by, "feature"]
     span = [*group, "lo", "hi"]
     values = long_values(df, cols, by)
-    stats = checkpointed(
-        values.groupBy(*group).agg(
-            F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        )
-    )
+    stats = column_stats(df, cols, by) if stats is None else stats
     small = stats.count() * len(ranks) <= BROADCAST_ROWS
     hinted = F.broadcast if small else (lambda d: d)
     wanted = F.array(
@@ -122,7 +129,7 @@ def quantiles(
     """Linearly interpolated quantiles: ``(by..., feature, n, <one column per probability>)``.
 
     Columns with at most ``max_distinct`` different values go through the built-in exact percentile,
-    whose buffers are then bounded; the others are narrowed down by ``order_statistics``.
+    whose buffers are then bounded (0 turns this off and saves the sketches); the others are narrowed down by ``order_statistics``.
     ``exact=False`` takes one pass with mergeable sketches instead (not interpolated).
     """
     group = [*by, "feature"]
@@ -131,7 +138,10 @@ def quantiles(
             F.count("*").alias("n"),
             *[F.percentile_approx("value", p, accuracy).alias(name) for name, p in probs.items()],
         )
-    bounded = few_distinct(df, cols, by, max_distinct)
+    stats = column_stats(df, cols, by, sketch=max_distinct > 0)
+    # One row per column: how many values a buffer would have to hold over all groups.
+    sizes = {r["feature"]: r["d"] for r in stats.groupBy("feature").agg(F.sum("distinct").alias("d")).collect()}
+    bounded = [c for c in cols if sizes.get(c, 0) <= max_distinct]
     wide = [c for c in cols if c not in bounded]
     parts = []
     if bounded:
@@ -147,11 +157,13 @@ def quantiles(
             found.where("n > 0").select(*group, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])
         )
     if wide:
-        parts.append(_narrowed_quantiles(df, wide, probs, by))
+        parts.append(_narrowed_quantiles(df, wide, probs, by, stats.where(F.col("feature").isin(wide))))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _narrowed_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float], by: Sequence[str]) -> DataFrame:
+def _narrowed_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: dict[str, float], by: Sequence[str], stats: DataFrame
+) -> DataFrame:
     def position(p: float) -> RankFn:
         return lambda n: (n - 1) * F.lit(float(p))
 
@@ -159,7 +171,7 @@ def _narrowed_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, flo
     for name, p in probs.items():
         ranks[f"{name}:lo"] = lambda n, f=position(p): F.floor(f(n))
         ranks[f"{name}:hi"] = lambda n, f=position(p): F.ceil(f(n))
-    found = order_statistics(df, cols, ranks, by=by)
+    found = order_statistics(df, cols, ranks, by=by, stats=stats)
 
     def at(stat: str) -> Column:
         return F.max(F.when(F.col("stat") == stat, F.col("value")))

@@ -87,7 +87,7 @@ def _by_blocks(queries: DataFrame, docs: DataFrame, k: int, query_block: int, do
         return df.select(
             "id", "embedding",
             F.pmod(F.xxhash64("id"), F.lit(own)).alias(name),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).cast("long").alias(other),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other),
         )
 
     nq, nd = blocks(queries, query_block), blocks(docs, doc_block)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,9 +37,15 @@ def run_forecast(series: DataFrame, *, config: Config = Config(), boosting: dict
     fit_rows = {name: rows.where(F.col("split") == name).cache() for name in ("train", "val", "test")}
     fit_seen = rows.where(F.col("split") != "test").cache()
 
-    stopped, _ = forecast.train_early_stopped(fit_rows["train"], fit_rows["val"], seed=config.seed, **boosting)
-    boosted = forecast.train_gradient_boosting(fit_seen, seed=config.seed, **boosting)
-    boosted_val = forecast.train_gradient_boosting(fit_rows["train"], seed=config.seed, **boosting)
+    # The three fits do not depend on each other: their jobs share the cluster.
+    fits = [
+        lambda: forecast.train_early_stopped(fit_rows["train"], fit_rows["val"], seed=config.seed, **boosting)[0],
+        lambda: forecast.train_gradient_boosting(fit_seen, seed=config.seed, **boosting),
+        lambda: forecast.train_gradient_boosting(fit_rows["train"], seed=config.seed, **boosting),
+    ]
+    with ThreadPoolExecutor(len(fits)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(series.sparkSession)(fit)) for fit in fits]
+        stopped, boosted, boosted_val = [job.result() for job in jobs]
 
     predictions = _stack(
         forecast.on_dates(forecast.arima_forecast(seen, tw), part["test"], "arima"),

@@ -9,7 +9,8 @@ from obsflow.operators import anomaly, evaluate, explain, forecast
 from obsflow.operators import series as ops
 from obsflow.plans.catalog import Tables, query, r6
 from obsflow.plans.forecast_run import run_forecast
-from obsflow.plans.series import DAILY, SPLIT, orders_daily
+from obsflow.plans.series import DAILY, orders_daily
+from obsflow.session import checkpointed, spread
 
 TARGET = "l_extendedprice"
 DRIVERS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
@@ -108,8 +109,6 @@ def adf_stat(t: Tables):
 
 
 def boosted_rows(t: Tables) -> DataFrame:
-    from obsflow.session import checkpointed
-
     series = orders_daily(t)
     split = ops.split_tail(series, test=30, val=30)
     features = ops.create_features(series).join(split.select("key", "ds", "split"), ["key", "ds"])
@@ -142,7 +141,8 @@ def forecast_run(t: Tables):
 
 def driver_rows(t: Tables) -> DataFrame:
     table = t.lineitem.select("l_orderkey", "l_partkey", *DRIVERS, TARGET)
-    return anomaly.hash_split(explain.feature_rows(table, DRIVERS, TARGET), F.col("l_orderkey"))
+    rows = explain.feature_rows(spread(table), DRIVERS, TARGET)
+    return anomaly.hash_split(rows, F.col("l_orderkey")).persist()
 
 
 def boosted_drivers(rows: DataFrame):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsflow.operators import conformal, drift, evaluate
 from obsflow.operators import series as ops
 from obsflow.plans.catalog import Tables, query, r6
+from obsflow.session import checkpointed
 
 # Building blocks of the SQL side.
 DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS ds, avg(o_totalprice) AS y FROM orders GROUP BY 1)"
@@ -240,7 +241,7 @@ ENSEMBLES = """,
 def naive_run(t: Tables) -> dict[str, DataFrame]:
     from obsflow.plans.forecast_run import score_run
 
-    scored = scored_naive(t)
+    scored = checkpointed(scored_naive(t))
     shape = ("key", "ds", "model_id", "y_hat")
     return score_run(
         scored.where("split = 'test'").select(*shape), scored.where("split = 'val'").select(*shape), orders_daily(t)

@@ -54,3 +54,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     stored = checkpointed(df)
     return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before costly per-row work, if their source has fewer partitions than that.
+
+    Large inputs have more partitions than cores already and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
