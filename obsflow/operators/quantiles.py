@@ -129,7 +129,8 @@ def quantiles(
     """Linearly interpolated quantiles: ``(by..., feature, n, <one column per probability>)``.
 
     Columns with at most ``max_distinct`` different values go through the built-in exact percentile,
-    whose buffers are then bounded (0 turns this off and saves the sketches); the others are narrowed down by ``order_statistics``.
+    whose buffers are then bounded (0 turns this off and saves the sketches); the others are narrowed
+    down by ``order_statistics``.
     ``exact=False`` takes one pass with mergeable sketches instead (not interpolated).
     """
     group = [*by, "feature"]

@@ -34,8 +34,8 @@ def run_forecast(series: DataFrame, *, config: Config = Config(), boosting: dict
     features = create_features(split).join(split.select("key", "ds", "split"), ["key", "ds"])
     # A few thousand rows per key are trained on hundreds of times: store them once, vectors included.
     rows = checkpointed(forecast.assembled(features, cols).select("key", "ds", "y", "split", "features", "label"))
-    fit_rows = {name: rows.where(F.col("split") == name).cache() for name in ("train", "val", "test")}
-    fit_seen = rows.where(F.col("split") != "test").cache()
+    fit_rows = {name: rows.where(F.col("split") == name) for name in ("train", "val", "test")}
+    fit_seen = rows.where(F.col("split") != "test")
 
     # The three fits do not depend on each other: their jobs share the cluster.
     fits = [
@@ -59,10 +59,7 @@ def run_forecast(series: DataFrame, *, config: Config = Config(), boosting: dict
         forecast.model_predictions(stopped, fit_rows["val"], "lightgbm"),
         forecast.model_predictions(boosted_val, fit_rows["val"], "gradientboosting"),
     )
-    result = score_run(checkpointed(predictions), checkpointed(validation), split)
-    for cached in (*fit_rows.values(), fit_seen):
-        cached.unpersist()
-    return result
+    return score_run(checkpointed(predictions), checkpointed(validation), split)
 
 
 def score_run(predictions: DataFrame, validation: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:

@@ -119,14 +119,14 @@ def boosted_rows(t: Tables) -> DataFrame:
 @query("gbt_forecast")
 def gbt_forecast(t: Tables):
     rows = boosted_rows(t)
-    model = forecast.train_gradient_boosting(rows.where("split <> 'test'").cache())
+    model = forecast.train_gradient_boosting(rows.where("split <> 'test'"))
     return forecast.model_predictions(model, rows.where("split = 'test'"), "gradientboosting")
 
 
 @query("gbt_early_stop")
 def gbt_early_stop(t: Tables):
     rows = boosted_rows(t)
-    model, kept = forecast.train_early_stopped(rows.where("split = 'train'").cache(), rows.where("split = 'val'").cache())
+    model, kept = forecast.train_early_stopped(rows.where("split = 'train'"), rows.where("split = 'val'"))
     test = forecast.model_predictions(model, rows.where("split = 'test'"), "lightgbm")
     return test.withColumn("rounds", F.lit(kept))
 
@@ -149,7 +149,7 @@ def boosted_drivers(rows: DataFrame):
     """Early-stopped boosting on the training part only; a fifth of its keys is the validation part."""
     inner = anomaly.hash_split(rows.where("part = 'train'").drop("part"), F.col("l_orderkey"), salt=7)
     return forecast.train_early_stopped(
-        inner.where("part = 'train'").cache(), inner.where("part = 'test'").cache(), patience=5, maxIter=20, stepSize=0.2
+        inner.where("part = 'train'"), inner.where("part = 'test'"), patience=5, maxIter=20, stepSize=0.2
     )[0]
 
 
@@ -157,24 +157,34 @@ def boosted_drivers(rows: DataFrame):
 def rf_importance(t: Tables):
     rows = driver_rows(t)
     model = explain.random_forest(rows.where("part = 'train'"))
+    rows.unpersist()
     return explain.importances(rows, model, DRIVERS, "importance")
 
 
 @query("gbt_importance")
 def gbt_importance(t: Tables):
     rows = driver_rows(t)
-    return explain.importances(rows, boosted_drivers(rows), DRIVERS, "importance")
+    model = boosted_drivers(rows)
+    rows.unpersist()
+    return explain.importances(rows, model, DRIVERS, "importance")
 
 
-@query("tree_shap")
-def tree_shap(t: Tables):
+def explained_sample(t: Tables) -> DataFrame:
+    """Shapley values of 1,000 rows the model has not seen."""
     rows = driver_rows(t)
     model = boosted_drivers(rows)
-    sample = anomaly.hash_sample(rows.where("part = 'test'"), 1000, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    row_hash = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    sample = checkpointed(anomaly.hash_sample(rows.where("part = 'test'"), 1000, row_hash))
+    rows.unpersist()
     shap, _ = explain.tree_shap(sample, model, DRIVERS, id_cols=["l_orderkey", "l_linenumber", "l_partkey"])
     return explain.value_norms(shap)
 
 
+@query("tree_shap")
+def tree_shap(t: Tables):
+    return explained_sample(t)
+
+
 RANKED = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 

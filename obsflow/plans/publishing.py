@@ -12,7 +12,7 @@ from obsflow.operators import series as ops
 from obsflow.plans.anomalies import FLAGS, RECORDS_SQL, flagged_events, flags
 from obsflow.plans.catalog import Tables, query, r6
 from obsflow.plans.series import BASE, DAILY, ENSEMBLES, naive_run, orders_daily
-from obsflow.session import checkpoint_folder
+from obsflow.session import checkpoint_folder, checkpointed
 from obsflow.sources import contract, registry, synthetic
 
 STAMP = "2024-01-01T00:00:00Z"
@@ -115,17 +115,12 @@ def contract_anomalies(t: Tables):
 
 @query("contract_shap")
 def contract_shap(t: Tables):
-    from obsflow.plans.forecasting import DRIVERS, boosted_drivers, driver_rows
-    from obsflow.session import checkpointed
-
-    rows = driver_rows(t)
-    sample = anomaly.hash_sample(rows.where("part = 'test'"), 1000, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    ids = ["l_orderkey", "l_linenumber", "l_partkey"]
-    shap, _ = explain.tree_shap(sample, boosted_drivers(rows), DRIVERS, id_cols=ids)
-    points = checkpointed(explain.value_norms(shap))
+    from obsflow.plans.forecasting import explained_sample
+
+    points = checkpointed(explained_sample(t))
     section = contract.build_shap(
         explain.mean_abs_shap(points), points, generated_at=STAMP, sample_n=1000,
-        order=F.struct(*ids), model="gbt", target="l_extendedprice",
+        order=F.struct("l_orderkey", "l_linenumber", "l_partkey"), model="gbt", target="l_extendedprice",
     )
     return contract.validate("shap", section).select(F.inline("features"), "sample_n", F.size("beeswarm").alias("swarms"))
 
