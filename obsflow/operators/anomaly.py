@@ -138,17 +138,17 @@ def fit_params(df: DataFrame, features: Sequence[str], value: str) -> dict:
 
 
 def tree_samples(
-    df: DataFrame, columns: list[Column], n: int, *, id_cols: Sequence[str], n_trees: int, size: int, seed: int
+    df: DataFrame, columns: list[Column], n: int, *, hash_cols: Sequence[str], n_trees: int, size: int, seed: int
 ) -> DataFrame:
     """``(tree_id, s0..)``: ``size`` rows per tree, chosen by a seeded hash of the row.
 
     With enough rows the trees get disjoint samples out of one top list; a small table is offered to
-    every tree instead. Rows with equal hashes are equal rows, so the choice does not depend on the
-    partitioning.
+    every tree instead. The hash is taken of unscaled source columns; rows that agree in them are
+    interchangeable, so the choice does not depend on the partitioning.
     """
     names = [f"s{i}" for i in range(len(columns))]
-    rows = df.select(*columns, *[F.col(c).alias(f"id{i}") for i, c in enumerate(id_cols)])
-    ident = [*names, *[f"id{i}" for i in range(len(id_cols))]]
+    rows = df.select(*columns, *[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(hash_cols)])
+    ident = [f"id{i}" for i in range(len(hash_cols))]
     if n >= n_trees * size:
         hashed = rows.withColumn("h", F.xxhash64(*ident, F.lit(seed)))
         chosen = hashed.orderBy("h", *ident).limit(n_trees * size)
@@ -266,8 +266,9 @@ def fit_anomaly_models(
     size = min(max_samples, n)
     draft = AnomalyModel(features, **p, max_samples=size, trees=[], threshold=threshold)
     samples = tree_samples(
-        df, draft.standardized(), n, id_cols=id_cols, n_trees=n_trees, size=size, seed=seed
-    )
+        df, draft.standardized(), n, hash_cols=[*dict.fromkeys([*features, *id_cols])],
+        n_trees=n_trees, size=size, seed=seed,
+    )
     names = [f"s{i}" for i in range(len(features))]
     limit = depth_limit(size)
 
