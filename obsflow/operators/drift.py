@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from obsflow.functions.scalar import number
 from obsflow.operators.profile import slice_of
+from obsflow.session import spread
 
 # Fixed thresholds of the verdicts.
 P_THRESHOLD = 0.05
@@ -29,13 +30,14 @@ def _slices(df: DataFrame, cols: Sequence[str], slices: int) -> dict[str, list[f
 
 def value_steps(df: DataFrame, cols: Sequence[str], is_reference: Column, slices: int = 64) -> DataFrame:
     """``(feature, value, n_ref, n_cur, f_ref, f_cur)``: both distribution functions at every value."""
+    df = spread(df.select(is_reference.alias("r"), *[f"`{c}`" for c in cols]))
     cuts = _slices(df, cols, slices)
     items = []
     for c in cols:
         v = number(F.col(f"`{c}`"))
         items.append(F.struct(F.lit(c).alias("feature"), slice_of(v, cuts[c]).alias("slice"), v.alias("value")))
     counted = (
-        df.select(is_reference.alias("r"), F.inline(F.array(*items)))
+        df.select("r", F.inline(F.array(*items)))
         .where(F.col("value").isNotNull())
         .groupBy("feature", "slice", "value")
         .agg(F.count_if(F.col("r")).alias("c_ref"), F.count_if(~F.col("r")).alias("c_cur"))

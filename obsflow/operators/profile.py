@@ -220,8 +220,8 @@ def box_stats(df: DataFrame, group: str, value: str, *, cap: float = 0.99, multi
     Groups are ordered by falling median in ``place``.
     """
     known = df.select(F.col(group), number(value).alias("v")).where(F.col("v").isNotNull())
-    top = quantiles(known, ["v"], {"cap": cap}).select("cap").scalar()
-    capped = known.withColumn("v", clip("v", upper=top))
+    top = quantiles(known, ["v"], {"cap": cap}).first()
+    capped = known.withColumn("v", clip("v", upper=top["cap"] if top else None))
     quarts = quantiles(capped, ["v"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[group]).drop("feature")
     quarts = broadcast_if_small(quarts)
     reach = (F.col("q3") - F.col("q1")) * multiplier

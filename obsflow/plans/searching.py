@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from obsflow.functions import scalar
 from obsflow.operators import search
 from obsflow.plans.catalog import Tables, query, r6
+from obsflow.session import spread
 
 
 def documents(t: Tables) -> DataFrame:
@@ -94,18 +95,18 @@ def index_search(t: Tables):
     "rounded_vectors",
     """
     WITH c AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-    SELECT vec_id, count(*) AS dim, round(sum(round(x, 6)), 5) AS total FROM c GROUP BY 1
+    SELECT vec_id, count(*) AS dim, round(sum(round(x, 6)), 6) AS total FROM c GROUP BY 1
     """,
 )
 def rounded_vectors(t: Tables):
     rounded = t.embeddings.select("vec_id", scalar.round_vector(F.col("embedding")).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return rounded.select("vec_id", F.size("v").cast("long").alias("dim"), r6(total, "total", 5))
+    return rounded.select("vec_id", F.size("v").cast("long").alias("dim"), r6(total, "total"))
 
 
 @query("text_search")
 def text_search(t: Tables):
-    docs = t.documents.select("doc_id", "text")
+    docs = spread(t.documents.select("doc_id", "text"))
     embed = search.fit_text_embedder(docs)
     index = search.SemanticIndex(docs, embed, id_col="doc_id", text="text")
     hits = index.search(t.benchmark.select(F.col("item_id").alias("id"), "text"), top_k=5)
