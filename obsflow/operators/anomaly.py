@@ -38,13 +38,13 @@ def zscore_anomalies(df: DataFrame, value: str, *, threshold: float = 3.0, by: S
     """Adds ``z`` and ``anomaly_zscore``; a missing value is never flagged.
 
     The global parameters are a scalar subquery of the plan; those of groups are joined, broadcast
-    while their counted rows are within bounds.
+    while their counted rows are within bounds. Rows without a group stay, without a score.
     """
     v = number(value)
     mu, sigma = zscore_params(v)
     if by:
         params = broadcast_if_small(df.groupBy(*by).agg(mu.alias("mu"), sigma.alias("sigma")))
-        scored = df.join(params, list(by)).withColumn("z", (v - F.col("mu")) / F.col("sigma")).drop("mu", "sigma")
+        scored = df.join(params, list(by), "left").withColumn("z", (v - F.col("mu")) / F.col("sigma")).drop("mu", "sigma")
     else:
         params = df.agg(F.struct(mu.alias("mu"), sigma.alias("sigma"))).scalar()
         scored = df.withColumn("z", (v - params["mu"]) / params["sigma"])

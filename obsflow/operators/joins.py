@@ -52,16 +52,17 @@ def union_dates(*tables: DataFrame, col: str = "ds") -> DataFrame:
 
 
 def flagged_sets(a: DataFrame, b: DataFrame, everything: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``(key..., segment)`` from two tables of flagged keys and the table of all keys."""
-    a, b, everything = (t.select(*key).distinct() for t in (a, b, everything))
-    segments = {
-        "both": a.intersect(b),
-        "zscore_only": a.join(b, list(key), "left_anti"),
-        "if_only": b.join(a, list(key), "left_anti"),
-        "neither": everything.join(a.union(b), list(key), "left_anti"),
-    }
-    out = None
-    for name, rows in segments.items():
-        tagged = rows.withColumn("segment", F.lit(name))
-        out = tagged if out is None else out.union(tagged)
-    return out
+    """``(key..., segment)`` from two tables of flagged keys and the table of all keys.
+
+    Intersection, both differences and the rest come out of one grouping of the tagged union.
+    """
+    no, yes = F.lit(False), F.lit(True)
+    tagged = (
+        a.select(*key, yes.alias("in_a"), no.alias("in_b"))
+        .union(b.select(*key, no, yes))
+        .union(everything.select(*key, no, no))
+    )
+    flags = tagged.groupBy(*key).agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+    x, y = F.col("in_a"), F.col("in_b")
+    segment = F.when(x & y, "both").when(x, "zscore_only").when(y, "if_only").otherwise("neither")
+    return flags.select(*key, segment.alias("segment"))

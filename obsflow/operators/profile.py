@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations, product
+from itertools import combinations_with_replacement, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -163,16 +163,13 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Full square in long form; only one triangle is computed."""
-    half = correlations(df, list(combinations(cols, 2)))
-    row = df.agg(*[F.corr(number(F.col(f"`{c}`")), number(F.col(f"`{c}`"))).alias(f"r{i}") for i, c in enumerate(cols)])
-    diagonal = row.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)]))
+    """Full square in long form; one pass computes one triangle and the diagonal."""
+    half = correlations(df, list(combinations_with_replacement(cols, 2)))
+    swapped = F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r")
+    both = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y", "r"))).otherwise(
+        F.array(F.struct("x", "y", "r"), swapped)
     )
-    both = half.select(
-        F.inline(F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r")))
-    )
-    return both.unionByName(diagonal)
+    return half.select(F.inline(both))
 
 
 def correlation_block(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
@@ -264,7 +261,7 @@ def average_ranks(df: DataFrame, col: str, *, name: str = "avg_rank") -> DataFra
     counted = df.groupBy(col).agg(F.count("*").alias("ties"))
     above = _rows_above(counted, col)
     rank = above.select(col, F.floor(F.col("above") + (F.col("ties") + 1) / 2).cast("long").alias(name))
-    return df.join(rank, col)
+    return df.join(broadcast_if_small(rank), col)
 
 
 def _rows_above(counted: DataFrame, col: str, slices: int = 256) -> DataFrame:

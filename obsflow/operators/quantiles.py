@@ -67,6 +67,7 @@ def order_statistics(
     """
     group = [*by, "feature"]
     span = [*group, "lo", "hi"]
+    df = df.dropna(subset=[*by]) if by else df
     values = long_values(df, cols, by)
     stats = column_stats(df, cols, by) if stats is None else stats
     small = stats.count() * len(ranks) <= BROADCAST_ROWS
@@ -131,9 +132,11 @@ def quantiles(
     Columns with at most ``max_distinct`` different values go through the built-in exact percentile,
     whose buffers are then bounded (0 turns this off and saves the sketches); the others are narrowed
     down by ``order_statistics``.
-    ``exact=False`` takes one pass with mergeable sketches instead (not interpolated).
+    ``exact=False`` takes one pass with mergeable sketches instead (not interpolated). Rows whose group
+    is unknown belong to no group.
     """
     group = [*by, "feature"]
+    df = df.dropna(subset=[*by]) if by else df
     if not exact:
         return long_values(df, cols, by).groupBy(*group).agg(
             F.count("*").alias("n"),

@@ -156,11 +156,39 @@ def with_previous(
     carried = edges.select(
         *keys, F.lag("bucket_last").over(W.partitionBy(*by).orderBy("bucket")).alias("carried")
     )
-    return (
-        rows.withColumn("previous", inner)
-        .join(carried, keys)
-        .withColumn("previous", F.coalesce("previous", "carried"))
-        .drop("bucket", "carried")
+    joined = _null_safe_left(rows.withColumn("previous", inner), carried, keys)
+    return joined.withColumn("previous", F.coalesce("previous", "carried")).drop("bucket", "carried")
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which unknown keys and times meet their like, so that no row is lost."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
+
+
+def sessionize(df: DataFrame, ts: str, key: str, *, gap_seconds: float, unit: str = "day") -> DataFrame:
+    """``(key, session_start, session_end, n)``: runs of rows with less than the gap between them.
+
+    Rows are first put together inside ``(key, bucket)``; the few runs of a bucket are then joined
+    across buckets, so a key with most of the rows never sits in one task as a whole.
+    """
+    rows = df.select(key, F.col(ts).alias("first"), F.col(ts).alias("last"), F.lit(1).alias("n"))
+    rows = rows.where(F.col("first").isNotNull()).withColumn("bucket", _bucket("first", unit))
+    runs = _joined_runs(rows, [key, "bucket"], gap_seconds)
+    whole = _joined_runs(runs, [key], gap_seconds)
+    end = (F.col("last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end")
+    return whole.select(key, F.col("first").alias("session_start"), end, "n")
+
+
+def _joined_runs(runs: DataFrame, keys: Sequence[str], gap_seconds: float) -> DataFrame:
+    """Runs ``(keys..., first, last, n)`` put together where the gap to the one before is small."""
+    ordered = W.partitionBy(*keys).orderBy("first", "last")
+    before = F.lag("last").over(ordered)
+    starts = F.coalesce((seconds_between(F.col("first"), before) >= gap_seconds).cast("int"), F.lit(1))
+    numbered = runs.withColumn("starts", starts).withColumn("run", F.sum("starts").over(ordered))
+    return numbered.groupBy(*keys, "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
     )
 
 
@@ -220,7 +248,7 @@ def nearest_join(
     after = F.coalesce("after", "carried_after")
     closer = seconds_between(F.col(ts), before) <= seconds_between(after, F.col(ts))
     nearest = F.when(after.isNull() | closer, before).otherwise(after)
-    return found.join(carried, keys).withColumn("nearest", nearest).select(*cols, "nearest")
+    return _null_safe_left(found, carried, keys).withColumn("nearest", nearest).select(*cols, "nearest")
 
 
 def autocorrelation(series: DataFrame, max_lag: int = 40) -> DataFrame:

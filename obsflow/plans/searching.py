@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsflow.functions import scalar
 from obsflow.operators import search
+from obsflow.operators.joins import lookup
 from obsflow.plans.catalog import Tables, query, r6
 from obsflow.session import spread
 
@@ -68,17 +68,16 @@ def all_neighbours(t: Tables):
 
 @query(
     "cosine_pairs",
-    """
-    WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings)
-    SELECT vec_id, round(list_dot_product(e, f), 6) AS dot, round(sqrt(list_dot_product(e, e)), 6) AS norm,
-           round(list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f))), 6) AS cosine FROM x WHERE f IS NOT NULL
-    """,
+    f"""WITH {CENTROIDS} SELECT vec_id, round(list_dot_product(v, e), 6) AS dot, round(sqrt(list_dot_product(e, e)), 6) AS norm,
+      round(list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e))), 6) AS cosine
+    FROM d JOIN embeddings USING (vec_id) JOIN q ON label = query_id""",
 )
 def cosine_pairs(t: Tables):
-    following = F.lead("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    pairs = t.embeddings.withColumn("next", following).where(F.col("next").isNotNull())
-    a, b = F.col("embedding"), F.col("next")
-    return pairs.select("vec_id", r6(scalar.dot(a, b), "dot"), r6(scalar.norm(a), "norm"), r6(scalar.cosine(a, b), "cosine"))
+    # Every vector with the mean vector of its label: one small row per label is looked up.
+    means = centroids(t).select(F.col("id").cast("int").alias("label"), F.col("embedding").alias("mean"))
+    pairs = lookup(t.embeddings, means, ["label"], keep_missing=False)
+    a, b = F.col("mean"), F.col("embedding")
+    return pairs.select("vec_id", r6(scalar.dot(a, b), "dot"), r6(scalar.norm(b), "norm"), r6(scalar.cosine(a, b), "cosine"))
 
 
 @query(

@@ -86,9 +86,13 @@ def sliding_mean(t: Tables):
     """,
 )
 def sessions(t: Tables):
-    found = jobs.sessions(t.events, "ts", "user_id", gap="12 hours")
-    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")]
-    return found.select("user_id", *times, "n")
+    return ops.sessionize(t.events, "ts", "user_id", gap_seconds=12 * 3600)
+
+
+@query("stream_sessions")
+def stream_sessions(t: Tables):
+    stream = jobs.file_stream(t.spark, t.folder, "events.parquet")
+    return jobs.run_available(jobs.sessions(stream, "ts", "user_id"), mode="append")
 
 
 @query(

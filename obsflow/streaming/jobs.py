@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from obsflow.functions.scalar import number
 from obsflow.operators.anomaly import AnomalyModel, isolation_forest, zscore_anomalies
-from obsflow.session import checkpoint_folder, checkpointed
+from obsflow.session import broadcast_if_small, checkpoint_folder, checkpointed
 
 # Fixed limits of the serving contract.
 MIN_BATCH = 10
@@ -68,7 +68,11 @@ def sliding_mean(events: DataFrame, ts: str, value: str, *, length: str = "7 day
 
 
 def sessions(events: DataFrame, ts: str, key: str, *, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
-    """Sessions of a key that end after a gap: ``(key, session_start, session_end, n)``."""
+    """Sessions of a key that end after a gap: ``(key, session_start, session_end, n)``.
+
+    For streams; a table whose keys may hold a large share of the rows is cut by
+    ``series.sessionize`` instead.
+    """
     timed = event_time(events, ts).withWatermark(ts, late)
     return timed.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(
         key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"
@@ -111,7 +115,7 @@ def judge_groups(df: DataFrame, group: str, value: str, *, min_batch: int = MIN_
     scored = zscore_anomalies(df, value, threshold=threshold, by=[group])
     sizes = df.groupBy(group).agg(F.count("*").alias("batch_rows"))
     small = sizes.where(F.col("batch_rows") < min_batch).select(group, F.lit(True).alias("small"))
-    joined = scored.join(small, group, "left")
+    joined = scored.join(broadcast_if_small(small), group, "left")
     rejected = F.coalesce("small", F.lit(False))
     return joined.withColumns(
         {

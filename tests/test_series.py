@@ -130,3 +130,30 @@ def test_partitioning_does_not_matter(spark, series):
     one, many = (ops.create_features(df.repartition(p)).orderBy("ds").collect() for p in (1, 8))
     assert one == many
     assert df.select(F.count("*")).first()[0] == 80
+
+
+def test_unknown_keys_and_times_keep_their_rows(spark):
+    rows = [(1, None, T0), (2, None, T0 + dt.timedelta(hours=2)), (3, "a", None), (4, "a", T0)]
+    df = spark.createDataFrame(rows, "id int, k string, t timestamp_ntz")
+    got = {r["id"]: r["previous"] for r in ops.with_previous(df, "t", by=["k"]).collect()}
+    assert got == {1: None, 2: T0, 3: None, 4: None}
+    points = spark.createDataFrame([("a", T0)], "k string, p timestamp_ntz")
+    near = {r["id"]: r["nearest"] for r in ops.nearest_join(df, points, ts="t", point_ts="p", by=["k"]).collect()}
+    assert near == {1: None, 2: None, 3: None, 4: T0}
+
+
+@pytest.mark.parametrize("gap", [600, 7200, 200_000])
+def test_sessions_against_brute_force(spark, gap):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "id int, k string, t timestamp_ntz")
+    got = {(r["k"], r["session_start"], r["session_end"], r["n"]) for r in ops.sessionize(df, "t", "k", gap_seconds=gap).collect()}
+    want, wait = set(), dt.timedelta(seconds=gap)
+    for key in {k for _, k, _ in rows}:
+        run = []
+        for t in sorted(t for _, k, t in rows if k == key):
+            if run and t - run[-1] >= wait:
+                want.add((key, run[0], run[-1] + wait, len(run)))
+                run = []
+            run.append(t)
+        want.add((key, run[0], run[-1] + wait, len(run)))
+    assert got == want
