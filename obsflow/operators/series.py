@@ -147,7 +147,8 @@ def with_previous(
     """Adds ``previous``: the time of the row before in ``(by, ts)`` order, over all rows.
 
     Rows are ordered inside ``(by, bucket)``; only the first row of a bucket needs the last time of
-    the bucket before it, which comes from the small table of bucket edges.
+    the bucket before it, which comes from the small table of bucket edges. The join keeps the
+    partitioning of the windows. Rows with an unknown key or time stay, without a previous time.
     """
     keys = [*by, "bucket"]
     rows = df.withColumn("bucket", _bucket(ts, unit))
@@ -156,15 +157,16 @@ def with_previous(
     carried = edges.select(
         *keys, F.lag("bucket_last").over(W.partitionBy(*by).orderBy("bucket")).alias("carried")
     )
-    joined = _null_safe_left(rows.withColumn("previous", inner), carried, keys)
-    return joined.withColumn("previous", F.coalesce("previous", "carried")).drop("bucket", "carried")
+    joined = rows.withColumn("previous", inner).join(carried, keys, "left")
+    previous = F.when(_all_known(keys), F.coalesce("previous", "carried"))
+    return joined.withColumn("previous", previous).drop("bucket", "carried")
 
 
-def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which unknown keys and times meet their like, so that no row is lost."""
-    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return left.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
+def _all_known(cols: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull()
+    return known
 
 
 def sessionize(df: DataFrame, ts: str, key: str, *, gap_seconds: float, unit: str = "day") -> DataFrame:
@@ -221,7 +223,8 @@ def nearest_join(
 
     Both sides are laid out in ``(by, bucket)``. Inside a bucket two running windows find the point
     before and after a probe; for probes near an edge the last point of the earlier and the first of
-    the later buckets are carried over. No pair of sides is ever formed.
+    the later buckets are carried over. No pair of sides is ever formed. Probes with an unknown key or
+    time stay, without a point.
     """
     keys = [*by, "bucket"]
     cols = probes.columns
@@ -248,7 +251,8 @@ def nearest_join(
     after = F.coalesce("after", "carried_after")
     closer = seconds_between(F.col(ts), before) <= seconds_between(after, F.col(ts))
     nearest = F.when(after.isNull() | closer, before).otherwise(after)
-    return _null_safe_left(found, carried, keys).withColumn("nearest", nearest).select(*cols, "nearest")
+    joined = found.join(carried, keys, "left")
+    return joined.withColumn("nearest", F.when(_all_known(keys), nearest)).select(*cols, "nearest")
 
 
 def autocorrelation(series: DataFrame, max_lag: int = 40) -> DataFrame:
