@@ -19,9 +19,12 @@ MIN_HORIZON, MAX_HORIZON = 1, 365
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over the Parquet files called ``name`` in a folder."""
+    """Stream over the Parquet table ``name`` of a folder, be it one file or a folder of parts.
+
+    The path is given as a pattern, since the stream reader takes a plain path for a folder.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:

@@ -18,6 +18,13 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_folder_tables_are_streamed_whole(spark, folder, tmp_path):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in" / "events.parquet"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "events.parquet")
+    assert jobs.run_available(stream, mode="append", folder=str(tmp_path / "out")).count() == events.count()
+
+
 def test_append_mode_emits_closed_days_only(spark, folder, tmp_path):
     stream = jobs.file_stream(spark, folder, "events.parquet")
     live = jobs.run_available(jobs.daily_mean(stream, "ts", "value"), mode="append", folder=str(tmp_path))
