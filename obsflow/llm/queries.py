@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import language, quality, sharding, token_files
+from obsflow.llm import jaccard, language, mixing, pii, quality, sharding, token_files, toxicity
 from obsflow.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,37 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, at))
 
 
+#: Shares of the expected tokens after mixing.
+MIXTURE = {"good": 0.92, "low": 0.06, "toxic": 0.02}
+
+
+@query
+def op5_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rated = mixing.mixed(docs, mixing.quality_domains(labels), MIXTURE, anchor="good", keep=["doc_id"])
+    shares = [F.col("posterior")[j].alias(f"p_{d}") for j, d in enumerate(MIXTURE)]
+    return rated.select("doc_id", "tokens", *shares, "rate")
+
+
+@query
+def op6_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = id_remainder(5) == 0
+    model = toxicity.fit_toxicity(docs, labels, held)
+    found = toxicity.score_toxicity(docs.select("doc_id", "text", held.alias("held_out")), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_anchor_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, folder, "documents")))
+
+
+@query
+def op9_partenum_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 @query
 def op10_subword_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
