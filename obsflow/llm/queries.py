@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import jaccard, language, mixing, pii, quality, sharding, token_files, toxicity
+from obsflow.llm import decontaminate, jaccard, language, mixing, pii, quality, sharding, token_files, toxicity
 from obsflow.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, at))
 
 
+@query
+def op4_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 #: Shares of the expected tokens after mixing.
 MIXTURE = {"good": 0.92, "low": 0.06, "toxic": 0.02}
 

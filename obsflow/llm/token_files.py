@@ -175,11 +175,11 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def started(rows: DataFrame) -> DataFrame:
-    """``start``, the ids of all documents before, instead of ``before``. The totals are one row per slice."""
+    """``start``, the ids of all documents before, instead of ``before``. The totals are one row per slice, and so broadcast."""
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     behind = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("part", F.coalesce(F.sum("_sum").over(behind), F.lit(0)).alias("_shift"))
-    return rows.join(shift, "part").withColumn("start", F.col("before") + F.col("_shift")).drop("before", "_shift")
+    return rows.join(F.broadcast(shift), "part").withColumn("start", F.col("before") + F.col("_shift")).drop("before", "_shift")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
