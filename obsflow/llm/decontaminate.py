@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from obsflow.llm.text import LETTERS, Hasher, pieces, word_spans
 
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 1 << 20
-MIN_WORDS, UNIT, PASSAGE, STRIDE = 8, 80, 64, 8
+MIN_WORDS, UNIT, PASSAGE, STRIDE = 8, 64, 64, 8  # a unit's words fit the bits of one integer
 WIDTHS = (16, 32, 64)  # for units of fewer than 24, fewer than 48, and more words
 RANK, OVERSAMPLE, POWERS = 128, 16, 2
-COSINE, SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.45, 0.8, 0.6, 0.8
+COSINE, SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.5, 0.8, 0.6, 0.8
 PIECE = 1 << 20
 
 FOLD = LETTERS.copy()
@@ -57,11 +57,6 @@ class Unit:
     item: int
     words: np.ndarray  # places in the vocabulary
     answer: int  # so many last words are the answer
-    masks: dict[int, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        for i, w in enumerate(self.words.tolist()):
-            self.masks[w] = self.masks.get(w, 0) | 1 << i
 
 
 class Vocabulary:
@@ -165,82 +160,97 @@ def leading_vectors(matrix: DataFrame, words: int, rows: int, rank: int = RANK,
     return q @ turn[:, ::-1][:, :rank]
 
 
-def common(masks: dict[int, int], length: int, places: list[int]) -> int:
-    """Words left over when the longest common subsequence is marked: bit i is 0 if it takes word i of the unit."""
-    full = (1 << length) - 1
-    state = full
-    for w in places:
-        m = masks.get(w)
-        if m:
-            u = state & m
-            state = ((state + u) | (state - u)) & full
-    return state
-
-
-def lcs_length(masks: dict[int, int], length: int, places: list[int]) -> int:
-    return length - common(masks, length, places).bit_count()
+class Matcher:
+    """Longest common subsequences of many word lists with units, all at once, one bit per word of a unit."""
+
+    def __init__(self, lists: list[np.ndarray], words: int):
+        self.words = max(words, 1)
+        key = np.concatenate([np.full(len(x), i) * self.words + x for i, x in enumerate(lists)]).astype(np.int64)
+        bit = np.concatenate([np.left_shift(np.uint64(1), np.arange(len(x), dtype=np.uint64)) for x in lists])
+        self.keys, at = np.unique(key, return_inverse=True)
+        self.masks = np.zeros(len(self.keys), np.uint64)
+        np.bitwise_or.at(self.masks, at, bit)
+        self.length = np.array([len(x) for x in lists])
+
+    def __call__(self, which: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Length for each pair of list ``which`` and the words ``place[start:end]``."""
+        state = np.full(len(which), np.iinfo(np.uint64).max)
+        if len(self.keys):
+            for step in range(int((end - start).max(initial=0))):
+                some = np.flatnonzero(start + step < end)
+                key = which[some] * self.words + place[start[some] + step]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                some, mask = some[hit], self.masks[at[hit]]
+                now = state[some]
+                u = now & mask
+                state[some] = (now + u) | (now - u)
+        below = np.where(self.length >= 64, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(self.length, 63).astype(np.uint64)) - np.uint64(1))
+        return np.bitwise_count(~state & below[which]).astype(np.int64)
 
 
 class Searcher:
     """Finds the units of a block in pieces of text."""
 
     def __init__(self, vocabulary: Vocabulary, units: list[Unit], latent: np.ndarray):
-        self.vocabulary, self.units, self.latent = vocabulary, units, latent.astype(np.float32)
-        long = np.array([len(u.words) for u in units])
+        self.vocabulary, self.latent = vocabulary, latent.astype(np.float32)
+        self.items = np.array([u.item for u in units])
+        self.length = np.array([len(u.words) for u in units])
+        self.answer = np.array([u.answer for u in units])
+        self.whole = Matcher([u.words for u in units], len(vocabulary.hashes))
+        self.last = Matcher([u.words[len(u.words) - u.answer :] for u in units], len(vocabulary.hashes))
         self.bands = []
         for width, low, high in zip(WIDTHS, (0, 24, 48), (24, 48, 1 << 40), strict=True):
-            members = np.flatnonzero((long >= low) & (long < high))
+            members = np.flatnonzero((self.length >= low) & (self.length < high))
             if len(members):
                 vectors = np.stack([self.latent[units[i].words].sum(axis=0) for i in members])
                 self.bands.append((width, members, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)))
-        self.answers = [Unit(u.item, u.words[len(u.words) - u.answer :], 0).masks if u.answer else {} for u in units]
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int, int]]:
-        """``(text, unit, cosine, share, answer share, first word, end word)`` of every window that passes the checks."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Columns text, unit, cosine, share, answer share, first and end word of the windows that pass the checks."""
         hashes, first = words_of(data, offsets)
         at, place = self.vocabulary.find(hashes)
         if not len(at):
-            return
+            return []
         length = np.diff(first)
         spare = WIDTHS[-1] // STRIDE - 1
         blocks = -(-length // STRIDE) + spare  # empty blocks behind every text keep windows inside it
         base = np.cumsum(blocks) - blocks
         text = np.searchsorted(first, at, side="right") - 1
         block = base[text] + (at - first[text]) // STRIDE
-        new = np.flatnonzero(np.diff(block, prepend=-1))
         sums = np.zeros((int(blocks.sum()), self.latent.shape[1]), np.float32)
-        sums[block[new]] = np.add.reduceat(self.latent[place], new, axis=0)
+        new = np.flatnonzero(np.diff(block, prepend=-1))
+        turn = np.arange(len(block)) - np.repeat(new, np.diff(np.append(new, len(block))))
+        for k in range(STRIDE):  # the k-th known word of every block
+            some = turn == k
+            sums[block[some]] += self.latent[place[some]]
         owner = np.repeat(np.arange(len(length)), blocks)
         inside = np.arange(len(owner)) - base[owner]
         real = inside < blocks[owner] - spare
-        done = 1
+        found, done = [], 1
         for width, members, vectors in self.bands:
             while done * STRIDE < width:  # windows of twice the width from two neighbours
-                grown = sums.copy()
-                grown[: len(sums) - done] += sums[done:]
-                sums, done = grown, 2 * done
+                sums[: len(sums) - done] += sums[done:].copy()
+                done *= 2
             start = np.flatnonzero(real & (inside % max(1, done // 2) == 0))
             window = sums[start]
             norm = np.linalg.norm(window, axis=1)
-            start, window, norm = start[norm > 0], window[norm > 0], norm[norm > 0]
-            row, column = np.nonzero(window @ vectors.T >= COSINE * norm[:, None])
-            cosine = np.einsum("ij,ij->i", window[row], vectors[column]) / norm[row]
-            for s, c, cos in zip(start[row].tolist(), column.tolist(), cosine.tolist(), strict=True):
-                t = int(owner[s])
-                k = int(members[c])
-                unit = self.units[k]
-                n = len(unit.words)
-                lo = int(first[t]) + int(inside[s]) * STRIDE
-                hi = min(lo + width + n // 2, int(first[t + 1]))
-                lo = max(lo - n // 2, int(first[t]))
-                a, b = np.searchsorted(at, (lo, hi))
-                near = place[a:b].tolist()
-                share = lcs_length(unit.masks, n, near) / n
-                if share < PARAPHRASE_SHARE:
-                    continue
-                answer = lcs_length(self.answers[k], unit.answer, near) / unit.answer if unit.answer else 0.0
-                if share >= SHARE or answer >= ANSWER_SHARE:
-                    yield t, k, cos, share, answer, lo - int(first[t]), hi - int(first[t])
+            row, column = np.nonzero(window @ vectors.T >= np.where(norm > 0, COSINE * norm, np.inf)[:, None])
+            if not len(row):
+                continue
+            s, unit = start[row], members[column]
+            t, n = owner[s], self.length[unit]
+            begin = first[t] + inside[s] * STRIDE
+            lo, hi = np.maximum(begin - n // 2, first[t]), np.minimum(begin + width + n // 2, first[t + 1])
+            a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
+            keep = b - a >= PARAPHRASE_SHARE * n  # fewer known words can't hold the share
+            row, column, unit, t, n, lo, hi, a, b = (x[keep] for x in (row, column, unit, t, n, lo, hi, a, b))
+            share = self.whole(unit, place, a, b) / n
+            answer = np.where(self.answer[unit] > 0, self.last(unit, place, a, b) / np.maximum(self.answer[unit], 1), 0.0)
+            keep = (share >= SHARE) | (share >= PARAPHRASE_SHARE) & (answer >= ANSWER_SHARE)
+            cosine = np.einsum("ij,ij->i", window[row[keep]], vectors[column[keep]]) / norm[row[keep]]
+            found.append([t[keep], unit[keep], cosine, share[keep], answer[keep], (lo - first[t])[keep], (hi - first[t])[keep]])
+        return [np.concatenate(x) for x in zip(*found, strict=True)] if found else []
 
 
 SCHEMA = "item_id bigint, cosine double, share double, answer_share double, first_word bigint, end_word bigint"
@@ -255,34 +265,27 @@ def search_block(docs: DataFrame, searcher: Searcher) -> DataFrame:
         find = shared.value
         for batch in batches:
             for lo, _, data, offsets in pieces(batch.column(1), PIECE):
-                best: dict[tuple[int, int], tuple] = {}
-                for t, k, cos, share, answer, a, b in find(data, offsets):
-                    key, value = (lo + t, find.units[k].item), (share, answer, cos, -a, b)
-                    if key not in best or value > best[key]:
-                        best[key] = value
-                if best:
-                    rows = pa.array([r for r, _ in best], pa.int64())
-                    share, answer, cos, start, end = zip(*best.values(), strict=True)
+                columns = find(data, offsets)
+                if columns and len(columns[0]):
+                    text, unit, cosine, share, answer, start, end = columns
+                    item = find.items[unit]
+                    order = np.lexsort((start, -cosine, -answer, -share, item, text))  # the best window of a pair first
+                    text, item = text[order], item[order]
+                    best = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(item, prepend=item[0] - 1) != 0))
+                    rest = [x[order][best] for x in (cosine.astype(float), share, answer, start, end)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), pa.array([i for _, i in best], pa.int64()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()),
-                         pa.array(answer, pa.float64()), pa.array([-x for x in start], pa.int64()), pa.array(end, pa.int64())],
+                        [batch.column(0).take(pa.array(lo + text[best])), *map(pa.array, (item[best], *rest))],
                         names=["doc_id", "item_id", "cosine", "share", "answer_share", "first_word", "end_word"],
-                    )
+                    )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """``doc_id, item_id`` with cosine, shares and word span of every benchmark item found in a document.
-
-    An item is found where at least ``SHARE`` of its words, or of one unit of a long item, stand in order near a candidate window, or
-    ``PARAPHRASE_SHARE`` of them and ``ANSWER_SHARE`` of the answer. Null texts hold nothing; items with a null id or text or fewer than
-    ``MIN_WORDS`` words are not searched. Rows with repeated ids are each searched. Without items or documents the result is empty.
-    """
+def searchers(docs: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Searcher]:
+    """One searcher for each block of items; frequencies cover all ``docs``."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["b"] // BLOCK_BYTES))
-    spark, found = docs.sparkSession, None
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         vocabulary, units = cut_units([(r["item_id"], r["text"]) for r in mine])
@@ -290,9 +293,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
             continue
         frequency, passages = passage_frequencies(docs, vocabulary)
         idf = np.log((1 + passages) / (1 + frequency)) + 1e-3
-        matrix = spark.createDataFrame(tfidf_rows(units, idf), "place array<int>, value array<double>").repartition(max(1, len(units) // 500))
-        vectors = leading_vectors(matrix, len(idf), len(units), rank)
-        part = search_block(docs, Searcher(vocabulary, units, vectors * idf[:, None]))
-        found = part if found is None else found.unionByName(part)
+        rows = docs.sparkSession.createDataFrame(tfidf_rows(units, idf), "place array<int>, value array<double>")
+        vectors = leading_vectors(rows.repartition(max(1, len(units) // 500)), len(idf), len(units), rank)
+        yield Searcher(vocabulary, units, vectors * idf[:, None])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """``doc_id, item_id`` with cosine, shares and word span of every benchmark item found in a document.
+
+    An item is found where at least ``SHARE`` of its words, or of one unit of a long item, stand in order near a candidate window, or
+    ``PARAPHRASE_SHARE`` of them and ``ANSWER_SHARE`` of the answer. Null texts hold nothing; items with a null id or text or fewer than
+    ``MIN_WORDS`` words are not searched. Rows with repeated ids are each searched. Without items or documents the result is empty.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return spark.createDataFrame([], f"doc_id {kind}, {SCHEMA}") if found is None else found
+    found = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {SCHEMA}")
+    for searcher in searchers(docs, benchmark, rank):
+        found = found.unionByName(search_block(docs, searcher))
+    return found
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found. Every row is judged where it lies, so null or repeated ids don't matter."""
+    left = docs
+    for searcher in searchers(docs, benchmark, rank):
+        shared = docs.sparkSession.sparkContext.broadcast(searcher)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            find = shared.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for lo, _, data, offsets in pieces(batch.column("text"), PIECE):
+                    if columns := find(data, offsets):
+                        clean[lo + columns[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        left = left.mapInArrow(run, docs.schema)
+    return left

@@ -165,10 +165,19 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total
     return shared.withColumn("rate", rate_after(steps))
 
 
-def sampled_once(docs: DataFrame, key: str = "doc_id") -> Column:
-    """Whether a document stays when each is taken at most once: a hash of its id falls below ``rate``."""
-    u = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
-    return u < docs["rate"]
+def mixed_once(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor: str, per_domain: int = PER_DOMAIN) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when each is taken at most once: where a hash of the id falls below the rate.
+
+    The domain ``anchor`` keeps its expected tokens, so documents that surely belong to it have rates of one or more and stay. Null ids hash as
+    the empty string.
+    """
+    domains = list(targets)
+    model = fit_domains(docs, labelled, domains, per_domain)
+    shared = checkpointed(posteriors(docs, model, ["doc_id"]))
+    steps, _, _ = fit_rates(shared, list(targets.values()), anchor=domains.index(anchor))
+    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    u = F.pmod(F.xxhash64(F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")), F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
+    return posteriors(packed, model, ["_row"]).where(u < rate_after(steps)).select("_row.*")
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

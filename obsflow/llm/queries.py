@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import decontaminate, jaccard, language, mixing, pii, quality, sharding, token_files, toxicity
+from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, quality, sharding, token_files, toxicity
 from obsflow.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op6_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op7_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return chaining.by_document(chaining.repeated_passages(table(spark, folder, "documents")))
+
+
 @query
 def op8_anchor_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, folder, "documents")))
