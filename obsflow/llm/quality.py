@@ -100,7 +100,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", 4 * symbols(t) > words),
         Rule("shouting", (upper > lower) & (upper > 20)),
-        Rule("duplicate_lines", 10 * duplicate_lines(t) > 3 * F.size(lines(t))),
+        Rule("duplicate_lines", 2 * duplicate_lines(t) > F.size(lines(t))),
         Rule("word_length", (word_chars(t) < 2 * words) | (word_chars(t) > 15 * words)),
     ]
 
