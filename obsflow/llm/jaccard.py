@@ -8,10 +8,12 @@ gives none; a set in which so many parts have an empty subset that the shared on
 under another cut of the domain. Both sets of a pair lost to empty subsets are thin, so the pair meets in a later cut; the last cut keeps
 empty subsets. No similar pair is lost.
 
-Equal sets are one node. Sets that share a signature form a bucket. A bucket is worked off in rounds: its pivots (one in the first round,
-four times as many in each later one) are compared with all its members by exact intersection, links join components, and the bucket is
-done when what remains of it lies in one component. Buckets are never gathered: pivots come from map-side aggregates, members from
-joins that adaptive execution can split. Signatures that are frequent in a sample are salted in the first shuffle.
+Equal sets are one node. Sets that share a signature form a bucket. First every set is compared with the smallest pivot (least set of a
+bucket) that it meets. Buckets that still hold several components are worked off in rounds: pivots (one in the first round, four times as
+many in each later one) are compared with the members of other components, and the bucket is done when what remains of it lies in one
+component. Buckets are never gathered: pivots come from map-side aggregates, members from joins that adaptive execution can split.
+Signatures that are frequent in a sample are salted in the first shuffle. Pairs are compared by 32-bit hashes of their shingles; those
+so near the bound that colliding hashes could matter are compared again by 64 bits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,7 +85,7 @@ class Bands:
         k = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
         k2 = ((k > 0) & (k <= 12)).astype(np.int64)
         n2 = np.where(k2 == 1, 3, 1)
-        spare = np.where(k == 0, 0, 1 + k // 6)
+        spare = np.where(k == 0, 0, 1 + k // 8)
         return k, k2, n2, k // (k2 + 1) + 1 + spare
 
 
@@ -156,27 +158,34 @@ def set_table(docs: DataFrame, width: int = WORDS, seed: int = 0) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id bigint, check bigint")
 
 
+def row_key(set_id: str | None = None) -> Column:
+    """What stands for a row in signatures: its id, or the digest of its set where the id is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.col(set_id)) if set_id else F.col("doc_id").cast("long")
+
+
 def signature_rows(docs: DataFrame, width: int, percent: int, seed: int, hot: DataFrame | None) -> DataFrame:
-    """``sig, salt, node`` of every distinct set of a batch; signatures in ``hot`` get a salt above 0."""
+    """``sig, salt, row`` of every row, of equal sets in one piece of a batch only the first; signatures in ``hot`` get a salt above 0."""
     frequent = np.sort(np.array([r[0] for r in hot.collect()], np.int64)) if hot is not None else np.zeros(0, np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, often = Bands(percent), shared.value
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
+            for lo, hi, data, offsets in pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
-                node, _ = digests(sets, seed)
-                first = np.sort(np.unique(node, return_index=True)[1])  # copies within a piece once
+                node = signed(digests(sets, seed)[0])
+                ids = batch.column(0).slice(lo, hi - lo)
+                row = np.where(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), node)
+                first = np.sort(np.unique(node, return_index=True)[1])
                 sig, where = signatures([sets[i] for i in first], bands)
-                sig, owner = signed(sig), signed(node[first])[where]
+                sig, owner = signed(sig), first[where]
                 salt = np.zeros(len(sig), np.int32)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, sig), len(often) - 1)
-                    salt = np.where(often[at] == sig, 1 + (owner.view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salt), pa.array(owner)], names=["sig", "salt", "node"])
+                    salt = np.where(often[at] == sig, 1 + (node[owner].view(np.uint64) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(salt), pa.array(row[owner])], names=["sig", "salt", "row"])
 
-    return docs.select("text").mapInArrow(run, "sig bigint, salt int, node bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sig bigint, salt int, row bigint")
 
 
 def hot_signatures(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
@@ -189,8 +198,9 @@ def hot_signatures(docs: DataFrame, width: int, percent: int, seed: int) -> Data
     return rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sig")
 
 
-def set_contents(docs: DataFrame, width: int, seed: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the sets in ``wanted``, once each."""
+def set_contents(docs: DataFrame, width: int, seed: int, wanted: DataFrame, bits: int) -> DataFrame:
+    """``node, n, shingles`` of the sets in ``wanted``, once each: their sizes and hashes of 32 or 64 bits."""
+    item = "int" if bits == 32 else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,56 +209,82 @@ def set_contents(docs: DataFrame, width: int, seed: int, wanted: DataFrame) -> D
                 node, _ = digests(sets, seed)
                 first = np.sort(np.unique(node, return_index=True)[1])
                 flat = [sets[i] for i in first]
-                bounds = np.concatenate([[0], np.cumsum([len(s) for s in flat])]).astype(np.int64)
-                values = signed(np.concatenate(flat)) if flat else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(node[first])), lists(values, bounds)], names=["node", "shingles"])
+                size = np.array([len(s) for s in flat], np.int64)
+                values = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+                short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32) if bits == 32 else signed(values)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(node[first])), pa.array(size), lists(short, np.concatenate([[0], np.cumsum(size)]))], names=["node", "n", "shingles"])
 
-    sets = docs.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
+    sets = docs.select("text").mapInArrow(run, f"node bigint, n bigint, shingles array<{item}>")
     few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    return sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    mine = sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    return mine.groupBy("node").agg(F.first(F.struct("n", "shingles")).alias("c")).select("node", "c.n", "c.shingles")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, width: int, seed: int, percent: int, bits: int) -> DataFrame:
+    """``a, b, margin`` of all pairs: 100 x intersection less percent x union."""
+    wanted = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    contents = set_contents(docs, width, seed, wanted, bits)
+    left = contents.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = contents.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return both.select("a", "b", (100 * common - percent * (F.col("na") + F.col("nb") - common)).alias("margin"))
+
+
+COLLISIONS = 8  # more than so many colliding 32-bit hashes in one pair are not to be expected in any corpus
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, seed: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar."""
+    quick = checkpointed(compared(docs, pairs, width, seed, percent, 32))
+    doubt = (100 + percent) * COLLISIONS
+    close = quick.where(F.abs("margin") <= doubt)
+    exact = compared(docs, close, width, seed, percent, 64).where("margin >= 0")
+    return checkpointed(quick.where(F.col("margin") > doubt).select("a", "b").union(exact.select("a", "b")))
 
 
-def verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar, with ``shared`` and ``together`` (sizes of intersection and union)."""
-    left = contents.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = contents.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    one = pairs.join(right, "b").join(left, "a")
-    sized = one.withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    whole = sized.withColumn("together", F.size("sa") + F.size("sb") - F.col("shared"))
-    return whole.where(100 * F.col("shared") >= percent * F.col("together")).select("a", "b", "shared", "together")
+def bucket_table(docs: DataFrame, sets: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """``sig, node`` of all buckets with several different sets."""
+    hot = checkpointed(hot_signatures(docs, width, percent, seed))
+    rows = signature_rows(docs, width, percent, seed, hot).repartition("sig", "salt")
+    group = Window.partitionBy("sig", "salt")
+    several = rows.withColumns({"_lo": F.min("row").over(group), "_hi": F.max("row").over(group)}).where("salt > 0 or _lo != _hi")
+    named = several.join(sets.select(row_key("set_id").alias("row"), F.col("set_id").alias("node")), "row")
+    met = checkpointed(named.select("sig", "node").distinct())
+    true = met.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
+    return checkpointed(met.join(true, "sig", "left_semi"))
+
+
+def open_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """The buckets that hold several components."""
+    labelled = buckets.join(parts, "node", "left").select("sig", F.coalesce("component", "node").alias("c"))
+    mixed = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
+    return checkpointed(buckets.join(mixed, "sig", "left_semi"))
 
 
-def similar_links(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """``links`` (a, b) between the ids of similar different sets, enough to connect all that are similar, and ``node, component``.
 
-    A set that no other is similar to has no row.
+    ``sets`` is the :func:`set_table` of ``docs``. A set that no other is similar to has no component row.
     """
-    rows = signature_rows(docs, width, percent, seed, hot_signatures(docs, width, percent, seed)).repartition("sig", "salt")
-    group = Window.partitionBy("sig", "salt")
-    several = rows.withColumns({"_lo": F.min("node").over(group), "_hi": F.max("node").over(group)}).where("salt > 0 or _lo != _hi")
-    buckets = checkpointed(several.select("sig", "node").distinct())
-    contents = None
-    links, parts, pivots = None, None, 1
+    buckets = bucket_table(docs, sets, width, percent, seed)
+    least = buckets.groupBy("sig").agg(F.min("node").alias("a"))
+    nearest = buckets.join(least, "sig").where("a != node").groupBy("node").agg(F.min("a").alias("a"))
+    links = verified(docs, checkpointed(nearest.select("a", F.col("node").alias("b"))), width, seed, percent)
+    parts, pivots = checkpointed(connected(links)), 1
     while True:
+        buckets = open_buckets(buckets, parts)
+        if buckets.isEmpty():
+            return links, parts
         pivot = buckets.groupBy("sig", F.pmod("node", F.lit(pivots)).alias("_class")).agg(F.min("node").alias("a")).drop("_class")
         met = buckets.join(pivot, "sig").where("a != node")
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if parts is not None:
-            pa_, pb_ = (parts.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}")) for x in ("a", "b"))
-            apart = pairs.join(pa_, "a", "left").join(pb_, "b", "left")
-            pairs = apart.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-        pairs = checkpointed(pairs)
-        if contents is None:
-            contents = checkpointed(set_contents(docs, width, seed, buckets.select("node").distinct()))
-        new = checkpointed(verified(pairs, contents, percent))
-        links = new if links is None else links.union(new)
+        of_a, of_b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}")) for x in ("a", "b"))
+        apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
+        new = verified(docs, checkpointed(apart.select("a", "b")), width, seed, percent)
+        links = checkpointed(links.union(new))
         parts = checkpointed(connected(links))
-        rest = buckets.join(pivot.select("sig", F.col("a").alias("node")), ["sig", "node"], "left_anti")
-        labelled = rest.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-        open_ = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
-        buckets = checkpointed(rest.join(open_, "sig", "left_semi"))
-        if buckets.isEmpty():
-            return links, parts
+        buckets = buckets.join(pivot.select("sig", F.col("a").alias("node")), ["sig", "node"], "left_anti")
         pivots *= 4
 
 
@@ -265,7 +301,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
         if clash.isEmpty():
             break
         seed += 1
-    _, parts = similar_links(docs, width, percent, seed)
+    _, parts = similar_links(docs, sets, width, percent, seed)
     nodes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     in_part = nodes.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = in_part.select("set_id", F.coalesce("component", "set_id").alias("c"), "least")
@@ -273,3 +309,20 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     labels = named.join(smallest, "c").select("set_id", "component_id")
     linked = sets.where("n_shingles > 0").join(labels, "set_id").select("doc_id", "n_shingles", "component_id")
     return linked.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of every component only the smallest id does.
+
+    Documents without words stay. Of rows with one id and text one stays; rows with one id and different texts stay or go together. Rows
+    without an id can't be named and stay.
+    """
+    parts = checkpointed(jaccard_components(docs, width, percent))
+    losers = parts.where("doc_id != component_id").select("doc_id").distinct()
+    again = parts.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    small = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
+    kept = docs.join(small(losers), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    twice = kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(again), "doc_id", "left_anti").select(docs.columns).union(twice.select(docs.columns))
