@@ -9,11 +9,14 @@ under another cut of the domain. Both sets of a pair lost to empty subsets are t
 empty subsets. No similar pair is lost.
 
 Equal sets are one node. Sets that share a signature form a bucket. First every set is compared with the smallest pivot (least set of a
-bucket) that it meets. Buckets that still hold several components are worked off in rounds: pivots (one in the first round, four times as
+bucket) that it meets. Buckets that still hold several components are worked off in rounds: pivots (16 in the first round, sixteen times as
 many in each later one) are compared with the members of other components, and the bucket is done when what remains of it lies in one
 component. Buckets are never gathered: pivots come from map-side aggregates, members from joins that adaptive execution can split.
-Signatures that are frequent in a sample are salted in the first shuffle. Pairs are compared by 32-bit hashes of their shingles; those
-so near the bound that colliding hashes could matter are compared again by 64 bits.
+Signatures that are frequent in a sample are salted in the first shuffle.
+
+A pair is first held against the counts of its shingles in ``CELLS`` cells of the hash domain: their distance never exceeds the
+symmetric difference, so a pair it rules out is not similar. The others are compared by 32-bit hashes of their shingles, and those so near
+the bound that colliding hashes could matter again by 64 bits.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ WORDS, PERCENT = 5, 80
 LEVELS = 6
 HOT_SAMPLE, HOT_SHARE, SALTS = 20_000, 0.01, 64
 BROADCAST_NODES = 500_000
+CELLS, PIVOTS = 64, 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
@@ -142,20 +146,24 @@ def signatures(sets: list[np.ndarray], bands: Bands, levels: int = LEVELS) -> tu
 
 
 def set_table(docs: DataFrame, width: int = WORDS, seed: int = 0) -> DataFrame:
-    """``doc_id, n_shingles, set_id, check`` of every row; ``set_id`` and ``check`` are digests of the set."""
+    """``doc_id, n_shingles, set_id, check, cells`` of every row: digests of the set, and its shingles counted by cells of the hash domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 a, b = digests(sets, seed)
+                size = np.array([len(s) for s in sets], np.int64)
+                cell = (np.concatenate(sets) >> np.uint64(58)).astype(np.int64) + CELLS * np.repeat(np.arange(len(sets)), size)
+                cells = np.minimum(np.bincount(cell, minlength=CELLS * len(sets)), 32767).astype(np.int16)
+                counted = lists(cells, np.arange(len(sets) + 1) * CELLS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(a)), pa.array(signed(b))],
-                    names=["doc_id", "n_shingles", "set_id", "check"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(signed(a)), pa.array(signed(b)), counted],
+                    names=["doc_id", "n_shingles", "set_id", "check", "cells"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id bigint, check bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id bigint, check bigint, cells array<smallint>")
 
 
 def row_key(set_id: str | None = None) -> Column:
@@ -234,8 +242,19 @@ def compared(docs: DataFrame, pairs: DataFrame, width: int, seed: int, percent:
 COLLISIONS = 8  # more than so many colliding 32-bit hashes in one pair are not to be expected in any corpus
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, seed: int, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose cell counts don't rule them out; ``counted`` has ``node, n, cells``."""
+    left, right = (counted.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in ("a", "b"))
+    both = pairs.join(right, "b").join(left, "a")
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, counted: DataFrame, width: int, seed: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar."""
+    pairs = checkpointed(possible(pairs, counted, percent))
+    if pairs.isEmpty():
+        return pairs
     quick = checkpointed(compared(docs, pairs, width, seed, percent, 32))
     doubt = (100 + percent) * COLLISIONS
     close = quick.where(F.abs("margin") <= doubt)
@@ -268,24 +287,28 @@ def similar_links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent:
     ``sets`` is the :func:`set_table` of ``docs``. A set that no other is similar to has no component row.
     """
     buckets = bucket_table(docs, sets, width, percent, seed)
+    used = sets.join(buckets.select(F.col("node").alias("set_id")).distinct(), "set_id", "left_semi")
+    first = used.groupBy("set_id").agg(F.first(F.struct("n_shingles", "cells")).alias("c"))
+    counted = checkpointed(first.select(F.col("set_id").alias("node"), F.col("c.n_shingles").alias("n"), "c.cells"))
     least = buckets.groupBy("sig").agg(F.min("node").alias("a"))
     nearest = buckets.join(least, "sig").where("a != node").groupBy("node").agg(F.min("a").alias("a"))
-    links = verified(docs, checkpointed(nearest.select("a", F.col("node").alias("b"))), width, seed, percent)
-    parts, pivots = checkpointed(connected(links)), 1
+    links = verified(docs, nearest.select("a", F.col("node").alias("b")), counted, width, seed, percent)
+    parts, pivots = checkpointed(connected(links)), PIVOTS
     while True:
         buckets = open_buckets(buckets, parts)
         if buckets.isEmpty():
             return links, parts
-        pivot = buckets.groupBy("sig", F.pmod("node", F.lit(pivots)).alias("_class")).agg(F.min("node").alias("a")).drop("_class")
+        pivot = checkpointed(buckets.groupBy("sig", F.pmod("node", F.lit(pivots)).alias("_class")).agg(F.min("node").alias("a")).drop("_class"))
         met = buckets.join(pivot, "sig").where("a != node")
         pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         of_a, of_b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"_c{x}")) for x in ("a", "b"))
         apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-        new = verified(docs, checkpointed(apart.select("a", "b")), width, seed, percent)
-        links = checkpointed(links.union(new))
-        parts = checkpointed(connected(links))
+        new = verified(docs, apart.select("a", "b"), counted, width, seed, percent)
+        if not new.isEmpty():
+            links = checkpointed(links.union(new))
+            parts = checkpointed(connected(links))
         buckets = buckets.join(pivot.select("sig", F.col("a").alias("node")), ["sig", "node"], "left_anti")
-        pivots *= 4
+        pivots *= PIVOTS
 
 
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
