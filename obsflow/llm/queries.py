@@ -44,6 +44,35 @@ def op2_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
 
 
+SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+SQL["op2_rule_cascade"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT doc_id, t,
+         list_filter(string_split(translate(t, {SPACES}, '      '), ' '), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: translate(x, {SPACES}, '') <> '') AS l,
+         length(translate(t, {SPACES}, '')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper,
+         length(t) - length(translate(t, 'abcdefghijklmnopqrstuvwxyz', '')) AS lower
+  FROM texts),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM parts)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, upper, lower
+  FROM parts LEFT JOIN covered USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 4 * n_symbols > n_words OR (upper > lower AND upper > 20) OR 2 * n_dup_lines > n_lines
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM failed
+"""
+
+
 @query
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
