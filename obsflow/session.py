@@ -31,14 +31,15 @@ def local_session(app: str = "obsflow", cores: str = "8", shuffle_partitions: in
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (a bare local test session) is a
-    temporary one set.
+    Only where neither that setting nor a checkpoint folder exists is a temporary one set, and only for a local
+    master: elsewhere every worker would write to its own disk, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="obsflow-")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="obsflow-"))
     return context.getCheckpointDir()
 
 
