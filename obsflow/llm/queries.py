@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, quality, sharding, token_files, toxicity
+from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, quality, sentence_pieces, sharding, token_files, toxicity
 from obsflow.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,16 @@ def op10_subword_language(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit_language(docs, held)
     found = language.identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query
+def op12_piece_agenda(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = sentence_pieces.encode(table(spark, folder, "documents"), model)
+    texts = sentence_pieces.decode(tokens, model, keep=["doc_id", "tokens"])
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return texts.select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )

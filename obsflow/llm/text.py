@@ -76,6 +76,13 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Iter
         row += len(texts)
 
 
+def distinct_segments(data: np.ndarray, start: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings among segments that tile ``data``, and which of them each segment is. Bytes are compared, not hashes."""
+    offsets = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
 def word_spans(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of every run of True in ``word``; runs end with their text."""
     n = len(word)
