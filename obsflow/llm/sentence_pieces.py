@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ SHORT = 32
 #: So many short segments at a time.
 SIDE_BY_SIDE = 16_384
 #: A task forgets the segments it knows when they and their ids have so many bytes.
-KNOWN_BYTES = 48 << 20
+KNOWN_BYTES = 128 << 20
 
 
 class Vocabulary:
@@ -66,6 +67,7 @@ class Vocabulary:
         self.symbols = dict(normal)
         for c in sorted({c for t in normal for c in t} - normal.keys()):
             self.symbols[c] = len(self.texts) + len(self.symbols) - len(normal)
+        self.inner = {i: t for t, i in self.symbols.items() if i >= len(self.texts)}
         self.of_character = np.full(0x110000, -1, np.int32)
         for t, i in self.symbols.items():
             if len(t) == 1:
@@ -96,50 +98,48 @@ class Vocabulary:
         return np.where(known, self.pair_ranks[at] if len(self.pair_ranks) else NONE, NONE)
 
 
-def merged_side_by_side(words: Vocabulary, texts: Sequence[str]) -> list[list[int]]:
-    """The symbols left of each short text; characters unknown to all pieces are ``-1 - code point``."""
-    out: list[list[int]] = [[]] * len(texts)
+def single_symbols(words: Vocabulary, text: str) -> np.ndarray:
+    """The symbol of every character."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = words.of_character[codes]
+    return np.where(symbols >= 0, symbols, -1 - codes.astype(np.int32))
+
+
+def merged_side_by_side(words: Vocabulary, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols left of all short texts in a row, and how many each has; characters unknown to all pieces are ``-1 - code point``."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    if not lengths.any():
-        return out
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.where((s := words.of_character[codes]) >= 0, s, -1 - codes.astype(np.int64)).astype(np.int64)
-    width = int(lengths.max())
-    column = np.arange(width)
-    S = np.full((len(texts), width + 1), -1, np.int64)  # one column more, so that a row can always be shifted
-    S[:, :width][column < lengths[:, None]] = symbols
-    inside = column[None, : width - 1] + 1 < lengths[:, None]
+    width = int(lengths.max(initial=0))
+    if not width:
+        return np.zeros(0, np.int32), lengths
+    column = np.arange(width + 1)
+    done = np.full((len(texts), width + 1), -1, np.int32)  # one column more, so that a row can always be shifted
+    done[column < lengths[:, None]] = single_symbols(words, "".join(texts))
+    S, size, row = done.copy(), lengths.copy(), np.arange(len(texts))
     R = np.full((len(texts), width), NONE, np.int32)
-    R[:, : width - 1] = np.where(inside, words.ranks(S[:, : width - 1], S[:, 1:width]), NONE)
-    row, size = np.arange(len(texts)), lengths.copy()
-    while len(row):
+    R[:, : width - 1] = np.where(column[1:width] < lengths[:, None], words.ranks(S[:, : width - 1], S[:, 1:width]), NONE)
+    while True:
         best = R.argmin(1)  # the first of equals is the leftmost
-        every = np.arange(len(row))
-        going = R[every, best] != NONE
+        going = R[np.arange(len(row)), best] != NONE
         if not going.all():
-            for i, symbols_left, n in zip(row[~going].tolist(), S[~going].tolist(), size[~going].tolist(), strict=True):
-                out[i] = symbols_left[:n]
+            done[row[~going]], lengths[row[~going]] = S[~going], size[~going]
             S, R, row, size, best = S[going], R[going], row[going], size[going], best[going]
-            every = np.arange(len(row))
         if not len(row):
-            break
+            return done[column < lengths[:, None]], lengths
+        every = np.arange(len(row))
         at, _ = words.places(S[every, best], S[every, best + 1])
-        S[:, :-1] = np.where(np.arange(S.shape[1] - 1) > best[:, None], S[:, 1:], S[:, :-1])
+        S[:, :-1] = np.where(column[:-1] > best[:, None], S[:, 1:], S[:, :-1])
         S[every, best] = words.pair_pieces[at]
-        R[:, :-1] = np.where(np.arange(R.shape[1] - 1) > best[:, None], R[:, 1:], R[:, :-1])
+        R[:, :-1] = np.where(column[: width - 1] > best[:, None], R[:, 1:], R[:, :-1])
         size -= 1
-        has_next = best + 1 < size
-        R[every, best] = np.where(has_next, words.ranks(S[every, best], S[every, best + 1]), NONE)
-        has_last = best > 0
         left = np.maximum(best - 1, 0)
-        R[every, left] = np.where(has_last, words.ranks(S[every, left], S[every, best]), R[every, left])
-    return out
+        near = words.ranks(np.stack([S[every, best], S[every, left]]), np.stack([S[every, best + 1], S[every, best]]))
+        R[every, best] = np.where(best + 1 < size, near[0], NONE)
+        R[every, left] = np.where(best > 0, near[1], R[every, left])
 
 
 def merged_by_heap(words: Vocabulary, text: str) -> list[int]:
     """The symbols left of one text of any length."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = np.where((s := words.of_character[codes]) >= 0, s, -1 - codes.astype(np.int64)).tolist()
+    symbol = single_symbols(words, text).tolist()
     n, span, joined = len(symbol), int(words.span), words.joined
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     agenda: list[tuple[int, int, int, int, int]] = []
@@ -176,42 +176,49 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
-    def ids_of(self, symbols: list[int]) -> list[int]:
-        """Piece ids of symbols; what is no piece goes as bytes."""
-        top = len(self.words.texts)
-        if all(0 <= s < top for s in symbols):
-            return symbols
-        out: list[int] = []
-        for s in symbols:
-            if 0 <= s < top:
-                out.append(s)
-            else:
-                character = chr(-1 - s) if s < 0 else next(t for t, i in self.words.symbols.items() if i == s)
-                out += self.words.byte_ids[list(character.encode())].tolist()
-        return out
-
-    def segments(self, texts: list[str]) -> list[list[int]]:
-        """Ids of segments, compared with the library."""
-        out: list[list[int]] = [[]] * len(texts)
-        by_length = sorted((i for i, t in enumerate(texts) if len(t) <= SHORT), key=lambda i: len(texts[i]))
-        for k in range(0, len(by_length), SIDE_BY_SIDE):
-            some = by_length[k : k + SIDE_BY_SIDE]
-            for i, symbols in zip(some, merged_side_by_side(self.words, [texts[i] for i in some]), strict=True):
-                out[i] = self.ids_of(symbols)
-        for i, t in enumerate(texts):
-            if len(t) > SHORT:
-                out[i] = self.ids_of(merged_by_heap(self.words, t))
+    def ids_of(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the symbols of several texts, and how many each text has; what is no piece goes as bytes."""
+        other = np.flatnonzero((symbols < 0) | (symbols >= len(self.words.texts)))
+        if not len(other):
+            return symbols, counts
+        spelled = [chr(-1 - s) if s < 0 else self.words.inner[s] for s in symbols[other].tolist()]
+        as_bytes = [self.words.byte_ids[list(c.encode())] for c in spelled]
+        width = np.ones(len(symbols), np.int64)
+        width[other] = [len(x) for x in as_bytes]
+        out = np.repeat(symbols, width)
+        wide = np.zeros(len(symbols), bool)
+        wide[other] = True
+        out[np.repeat(wide, width)] = np.concatenate(as_bytes)
+        bounds = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(counts)])]
+        return out, np.diff(bounds)
+
+    def segments(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Segments with their ids, compared with the library."""
+        texts = sorted(texts, key=len)
+        short = next((i for i, t in enumerate(texts) if len(t) > SHORT), len(texts))
+        for k in range(0, short, SIDE_BY_SIDE):
+            some = texts[k : min(k + SIDE_BY_SIDE, short)]
+            yield from self.packed(some, *merged_side_by_side(self.words, some))
+        for t in texts[short:]:
+            symbols = np.array(merged_by_heap(self.words, t), np.int32)
+            yield from self.packed([t], symbols, np.array([len(symbols)]))
+
+    def packed(self, texts: list[str], symbols: np.ndarray, counts: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        ids, counts = self.ids_of(symbols, counts)
         if self.check:
-            self.compare(texts, out)
-        return out
+            self.compare(texts, ids, counts)
+        body, bounds = ids.astype(np.int32, copy=False).tobytes(), (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
+        for t, lo, hi in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            yield t, body[lo:hi]
 
-    def compare(self, texts: list[str], ids: list[list[int]]) -> None:
-        """The library puts a space before each text; a lone space cannot be asked for."""
+    def compare(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """The library puts a space before each text, so a lone space cannot be asked for."""
         lead = len(self.words.prefix)
-        asked = [i for i, t in enumerate(texts) if len(t) > lead]
-        for i, expected in zip(asked, self.words.library.encode([texts[i][lead:] for i in asked], num_threads=1), strict=True):
-            if ids[i] != expected:
-                raise AssertionError(f"ids differ from the library's for the segment {texts[i][:200]!r}")
+        asked = np.array([len(t) > lead for t in texts])
+        expected = self.words.library.encode([t[lead:] for t, a in zip(texts, asked, strict=True) if a], num_threads=1)
+        same = np.array_equal(np.fromiter(map(len, expected), np.int64, len(expected)), counts[asked])
+        if not same or not np.array_equal(np.fromiter(chain.from_iterable(expected), np.int32), ids[np.repeat(asked, counts)]):
+            raise AssertionError(f"ids differ from the library's in one of the segments {texts[0][:200]!r} to {texts[-1][:200]!r}")
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a piece in a row, and their bounds by text."""
@@ -227,8 +234,9 @@ class Encoder:
         if self.size > KNOWN_BYTES:
             self.known, self.size = {}, 0
         new = [s for s in found if s not in self.known]
-        for s, ids in zip(new, self.segments([s.decode() for s in new]), strict=True):
-            self.known[s] = kept = np.array(ids, np.int32).tobytes()
+        for t, kept in self.segments([s.decode() for s in new]):
+            s = t.encode()
+            self.known[s] = kept
             self.size += len(s) + len(kept) + 150
         parts = [self.known[s] for s in found]
         flat = np.frombuffer(b"".join(parts), np.int32)
