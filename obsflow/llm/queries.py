@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, quality, sentence_pieces, sharding, token_files, toxicity
+from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, quality, sentence_pieces, sharding, spelling, token_files, toxicity
 from obsflow.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,8 @@ def op12_piece_agenda(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op13_sorted_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
