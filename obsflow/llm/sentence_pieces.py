@@ -34,7 +34,7 @@ SHORT = 32
 #: So many short segments at a time.
 SIDE_BY_SIDE = 16_384
 #: A task forgets the segments it knows when they and their ids have so many bytes.
-KNOWN_BYTES = 128 << 20
+KNOWN_BYTES = 64 << 20
 
 
 class Vocabulary:
