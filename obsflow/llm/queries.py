@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, quality, sentence_pieces, sharding, spelling, token_files, toxicity
+from obsflow.llm import chaining, decontaminate, jaccard, language, mixing, pii, prefix_trie, quality, sentence_pieces, sharding, spelling, token_files, toxicity
 from obsflow.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,48 @@ def op10_subword_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+@query
+def op11_block_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations")).drop("p1", "p2")
+
+
+SQL["op11_block_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT conv_id,
+         xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda state, byte: list_reduce(range(8), lambda s, k: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END, xor(state, byte)),
+           4294967295::BIGINT)) % 4 AS h
+  FROM turns),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.pos, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 20 AND t.pos <= i.h
+  UNION ALL
+  SELECT t.conv_id, 1, t.pos, t.role, t.text FROM turns t JOIN ids i USING (conv_id) WHERE t.pos > i.h),
+paths AS (
+  SELECT i.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY part, pos) FILTER (role IS NOT NULL), []) AS path
+  FROM ids i LEFT JOIN rebuilt r USING (conv_id) GROUP BY i.conv_id),
+steps AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM paths),
+nodes AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(path)) AS ids
+  FROM steps GROUP BY ALL),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+         (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.node[n.depth].text, '[^ 	-]+')) END AS saved
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]),
+children AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(c.n, 0) AS n_children FROM linked l LEFT JOIN children c ON c.depth = l.depth AND c.node = l.node),
+above AS (SELECT node[1:up] AS node, up AS depth, saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted)),
+sums AS (SELECT node, depth, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY ALL)
+SELECT c.conv_id, c.depth, c.parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(c.ids, '')) AS ends_sha256
+FROM counted c JOIN sums s ON s.depth = c.depth AND s.node = c.node
+"""
+
+
 @query
 def op12_piece_agenda(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
