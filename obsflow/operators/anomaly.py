@@ -287,7 +287,7 @@ def fit_anomaly_models(
 
 def with_offset(model: AnomalyModel, scored: DataFrame, contamination: float) -> AnomalyModel:
     """The model with the score below which a share of ``contamination`` of the rows lies."""
-    cut = quantiles(scored, ["if_score"], {"offset": contamination}, max_distinct=0)
+    cut = quantiles(scored, ["if_score"], {"offset": contamination})
     offset = cut.first()["offset"]
     return AnomalyModel(**{**model.__dict__, "offset": offset})
 

@@ -27,7 +27,7 @@ def conformal_quantile(residuals: DataFrame, alpha: float, *, by: Sequence[str]
     def rank(n):
         return F.least(n, F.greatest(F.lit(1), F.ceil((n + 1) * F.lit(1 - alpha)))) - 1
 
-    found = order_statistics(residuals, ["residual"], {"q": rank}, by=by)
+    found = order_statistics(residuals, ["residual"], {"q": rank}, by=by)  # stored, so looking at it is no second run
     if found.isEmpty():
         raise ValueError("residuals must not be empty")
     return found.select(*by, "n", F.col("value").alias("q"))

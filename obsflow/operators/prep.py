@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from obsflow.functions.scalar import clip, number
 from obsflow.operators import profile
-from obsflow.operators.quantiles import medians, quantiles
+from obsflow.operators.quantiles import between, medians, order_statistics, quantiles
 
 # Fixed default: columns that are imputed and clipped but never scaled.
 DEFAULT_UNSCALED = ["last_updated_epoch", "latitude", "longitude"]
@@ -77,6 +77,44 @@ def detect_outliers_iqr(
     return {c: found[c] for c in cols if c in found}
 
 
+def fit_numbers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5) -> dict[str, dict]:
+    """``median, lower, upper, min, max`` per column, of the column as filled with its median; one run of order statistics.
+
+    Filling puts copies of the median in the middle of the known values. So the value at a rank of the filled column is the known value of that rank
+    if it is below the median, the known value as many ranks before as there are copies if it is above, and the median otherwise.
+    ``lower`` and ``upper`` are null for a column without spread between its quartiles; a column without known values has no entry.
+    """
+    cols = present(df, cols)
+    if not cols:
+        return {}
+    shares, rows = {"q1": 0.25, "q3": 0.75}, F.col("rows")
+    ranks = {"m0": lambda n: F.floor((n - 1) * 0.5), "m1": lambda n: F.ceil((n - 1) * 0.5)}
+    for name, p in shares.items():
+        for up in (0, 1):
+            place = F.least(F.floor((rows - 1) * p) + up, rows - 1)
+            ranks[f"{name}{up}a"] = lambda n, place=place: place
+            ranks[f"{name}{up}b"] = lambda n, place=place: place - (rows - n)
+    found = order_statistics(df, cols, ranks)
+    at = [F.max(F.when(F.col("stat") == s, F.col("value"))).alias(s) for s in ranks]
+    wide = found.groupBy("feature", "rows", "n", "min", "max").agg(*at)
+    middle = (F.col("n") - 1) * F.lit(0.5)
+    wide = wide.withColumn("median", between(F.col("m0"), F.col("m1"), middle - F.floor(middle)))
+    for name, p in shares.items():
+        below, above = (
+            F.when(F.col(f"{name}{up}a") < F.col("median"), F.col(f"{name}{up}a"))
+            .when(F.col(f"{name}{up}b") > F.col("median"), F.col(f"{name}{up}b"))
+            .otherwise(F.col("median"))
+            for up in (0, 1)
+        )
+        place = (rows - 1) * F.lit(p)
+        wide = wide.withColumn(name, between(below, above, place - F.floor(place)))
+    iqr = F.col("q3") - F.col("q1")
+    spread = wide.withColumns({
+        "lower": F.when(iqr != 0, F.col("q1") - iqr * multiplier), "upper": F.when(iqr != 0, F.col("q3") + iqr * multiplier)
+    })
+    return {r["feature"]: r.asDict() for r in spread.select("feature", "median", "lower", "upper", "min", "max").collect()}
+
+
 def treat_outliers_iqr(df: DataFrame, bounds: dict[str, tuple[float, float]], strategy: str = "clip") -> DataFrame:
     """Values limited to their fences."""
     if strategy != "clip":
@@ -210,10 +248,22 @@ def fit_prep(
         raise ValueError(f"unsupported outlier strategy {outliers_strategy!r}, only 'clip' is known")
     cat, num = profile.split_feature_types(df)
     exclude = list(exclude_from_normalize or DEFAULT_UNSCALED)
-    fill = {c: v for c, v in fit_fill(df, num, cat, exact=exact).items() if v is not None}
-    full = filled(df, fill)
-    bounds = detect_outliers_iqr(full, num, iqr_multiplier, exact=exact)
-    scale = fit_scale(treat_outliers_iqr(full, bounds), num, exclude)
+    if exact:
+        numbers = fit_numbers(df, num, iqr_multiplier)
+        fill = {c: numbers[c]["median"] for c in num if c in numbers and numbers[c]["median"] is not None} | fit_fill(df, [], cat)
+        full = filled(df, fill)
+        bounds = {c: (x["lower"], x["upper"]) for c in num if (x := numbers.get(c)) and x["lower"] is not None}
+        # The smallest and largest value after clipping are the clipped ones; the median lies between them.
+        limits = {c: bounds.get(c, (x["min"], x["max"])) for c, x in numbers.items()}
+        scale = {
+            c: tuple(min(max(numbers[c][end], limits[c][0]), limits[c][1]) for end in ("min", "max")) if c in numbers else (None, None)
+            for c in num if c not in exclude
+        }
+    else:
+        fill = {c: v for c, v in fit_fill(df, num, cat, exact=False).items() if v is not None}
+        full = filled(df, fill)
+        bounds = detect_outliers_iqr(full, num, iqr_multiplier, exact=False)
+        scale = fit_scale(treat_outliers_iqr(full, bounds), num, exclude)
     categories, dropped = fit_categories(full, cat, max_cardinality)
     kept = [c for c in df.columns if c not in categories and c not in dropped]
     names = kept + [f"{c}_{v}" for c, vs in categories.items() for v in vs]

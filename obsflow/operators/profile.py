@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from obsflow.functions.scalar import clip, number
 from obsflow.operators.quantiles import quantiles
+from obsflow.operators.slices import SLICE, in_slices, join_edges, numbered, per_slice, slices_before
 from obsflow.session import broadcast_if_small
 
 
@@ -224,7 +225,7 @@ def box_stats(df: DataFrame, group: str, value: str, *, cap: float = 0.99, multi
     reach = (F.col("q3") - F.col("q1")) * multiplier
     low, high = F.col("q1") - reach, F.col("q3") + reach
     inside = F.col("v").between(low, high)
-    return (
+    boxes = (
         capped.join(quarts, group)
         .groupBy(group, "n", "q1", "median", "q3")
         .agg(
@@ -232,8 +233,9 @@ def box_stats(df: DataFrame, group: str, value: str, *, cap: float = 0.99, multi
             F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
             F.count_if(~inside).alias("fliers"),
         )
-        .withColumn("place", F.row_number().over(W.orderBy(F.desc("median"), group)))
     )
+    order = [F.desc("median"), group]
+    return numbered(in_slices(boxes, order), [], order, "place").drop(SLICE)
 
 
 def outlier_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -255,34 +257,17 @@ def average_rank(col: str, *, by: Sequence[str] = ()) -> Column:
 def average_ranks(df: DataFrame, col: str, *, name: str = "avg_rank") -> DataFrame:
     """``df`` with the falling average rank of a whole column, without one global sort task.
 
-    The ranks are worked out on the counted distinct values and joined back. Their prefix sums go over
-    range slices: each slice is summed in its own window and shifted by the rows of the slices above.
+    The ranks are worked out on the counted distinct values and joined back. Their prefix sums go over range slices, each shifted by the
+    rows of the slices above. Rows without a value are kept and have no rank.
     """
-    counted = df.groupBy(col).agg(F.count("*").alias("ties"))
-    above = _rows_above(counted, col)
-    rank = above.select(col, F.floor(F.col("above") + (F.col("ties") + 1) / 2).cast("long").alias(name))
-    return df.join(broadcast_if_small(rank), col)
-
-
-def _rows_above(counted: DataFrame, col: str, slices: int = 256) -> DataFrame:
-    probs = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(counted.approxQuantile(col, probs, 0.001)))
-    slice_no = slice_of(F.col(col).cast("double"), cuts)
-    parts = counted.withColumn("slice", slice_no)
-    totals = parts.groupBy("slice").agg(F.sum("ties").alias("total"))
-    shift = totals.select(
-        "slice",
-        F.coalesce(
-            F.sum("total").over(W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("shift"),
-    )
-    inner = W.partitionBy("slice").orderBy(F.desc(col)).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        parts.withColumn("inner", F.coalesce(F.sum("ties").over(inner), F.lit(0)))
-        .join(F.broadcast(shift), "slice")
-        .withColumn("above", F.col("inner") + F.col("shift"))
-        .drop("inner", "shift", "slice")
-    )
+    falling = F.desc(col)
+    counted = in_slices(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("ties")), [falling])
+    totals = counted.groupBy(SLICE).agg(F.sum("ties").alias("total"))
+    shift = totals.select(SLICE, F.coalesce(F.sum("total").over(slices_before([])), F.lit(0)).alias("shift"))
+    inner = F.sum("ties").over(per_slice([], [falling]).rowsBetween(W.unboundedPreceding, -1))
+    above = join_edges(counted.withColumn("inner", F.coalesce(inner, F.lit(0))), shift, [])
+    rank = F.floor(F.col("inner") + F.col("shift") + (F.col("ties") + 1) / 2).cast("long")
+    return df.join(broadcast_if_small(above.select(col, rank.alias(name))), col, "left").select(*df.columns, name)
 
 
 def slice_of(v: Column, cuts: Sequence[float]) -> Column:

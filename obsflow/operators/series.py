@@ -1,8 +1,8 @@
 """Keyed daily series: building them, their features, and ordered operators on raw rows.
 
 A series holds one row per key and day, so a window per key is bounded by the calendar. Raw rows are
-not: there, ordered operators work inside ``(key, time bucket)`` and carry the bucket edges over, so a
-key that holds most of the rows is still spread over many tasks.
+not: there, ordered operators work in range slices of counted rows and carry the edges of the slices over, so a
+key or a day that holds most of the rows is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsflow.functions.scalar import as_column, calendar_fields, cyclical_fields, day_of, number
+from obsflow.operators.slices import SLICE, in_slices, join_edges, per_slice, slices_after, slices_before
 
 # Fixed default values of the feature set.
 DEFAULT_LAGS = (1, 2, 3, 7, 14, 21)
@@ -137,29 +138,22 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str | C
     return df.withColumn("position", position).where(F.col("position") <= n)
 
 
-def _bucket(ts: str, unit: str) -> Column:
-    return F.date_trunc(unit, F.col(ts))
-
-
-def with_previous(
-    df: DataFrame, ts: str, *, by: Sequence[str] = (), tie: Sequence[str] = (), unit: str = "day"
-) -> DataFrame:
+def with_previous(df: DataFrame, ts: str, *, by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
     """Adds ``previous``: the time of the row before in ``(by, ts)`` order, over all rows.
 
-    Rows are ordered inside ``(by, bucket)``; only the first row of a bucket needs the last time of
-    the bucket before it, which comes from the small table of bucket edges. The join keeps the
-    partitioning of the windows. Rows with an unknown key or time stay, without a previous time.
+    Rows are ordered inside slices; the first row of a key in a slice takes the last time of the slices before. Rows with an
+    unknown key or time stay, without a previous time.
     """
-    keys = [*by, "bucket"]
-    rows = df.withColumn("bucket", _bucket(ts, unit))
-    inner = F.lag(ts).over(W.partitionBy(*keys).orderBy(ts, *tie))
-    edges = rows.groupBy(*keys).agg(F.max(ts).alias("bucket_last"))
-    carried = edges.select(
-        *keys, F.lag("bucket_last").over(W.partitionBy(*by).orderBy("bucket")).alias("carried")
-    )
-    joined = rows.withColumn("previous", inner).join(carried, keys, "left")
-    previous = F.when(_all_known(keys), F.coalesce("previous", "carried"))
-    return joined.withColumn("previous", previous).drop("bucket", "carried")
+    return _with_previous(in_slices(df, [*by, ts, *tie]), ts, by, tie).drop(SLICE)
+
+
+def _with_previous(rows: DataFrame, ts: str, by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
+    inner = F.lag(ts).over(per_slice(by, [ts, *tie]))
+    edges = rows.groupBy(SLICE, *by).agg(F.max(ts).alias("_last"))
+    carried = edges.select(SLICE, *by, F.max("_last").over(slices_before(by)).alias("_carried"))
+    joined = join_edges(rows.withColumn("previous", inner), carried, by)
+    previous = F.when(_all_known([*by, ts]), F.coalesce("previous", "_carried"))
+    return joined.withColumn("previous", previous).drop("_carried")
 
 
 def _all_known(cols: Sequence[str]) -> Column:
@@ -169,16 +163,19 @@ def _all_known(cols: Sequence[str]) -> Column:
     return known
 
 
-def sessionize(df: DataFrame, ts: str, key: str, *, gap_seconds: float, unit: str = "day") -> DataFrame:
+def sessionize(df: DataFrame, ts: str, key: str, *, gap_seconds: float) -> DataFrame:
     """``(key, session_start, session_end, n)``: runs of rows with less than the gap between them.
 
-    Rows are first put together inside ``(key, bucket)``; the few runs of a bucket are then joined
-    across buckets, so a key with most of the rows never sits in one task as a whole.
+    Rows are put together inside slices. Only the first and the last run of a key in a slice can go on in another one, so only
+    these are joined across slices.
     """
     rows = df.select(key, F.col(ts).alias("first"), F.col(ts).alias("last"), F.lit(1).alias("n"))
-    rows = rows.where(F.col("first").isNotNull()).withColumn("bucket", _bucket("first", unit))
-    runs = _joined_runs(rows, [key, "bucket"], gap_seconds)
-    whole = _joined_runs(runs, [key], gap_seconds)
+    rows = in_slices(rows.where(F.col("first").isNotNull()), [key, "first"])
+    runs = _joined_runs(rows, [key, SLICE], gap_seconds)
+    last_run = F.max("run").over(W.partitionBy(key, SLICE))
+    runs = runs.withColumn("_edge", (F.col("run") == 1) | (F.col("run") == last_run))
+    whole = _joined_runs(runs.where("_edge"), [key], gap_seconds).drop("run")
+    whole = whole.unionByName(runs.where("not _edge").select(whole.columns))
     end = (F.col("last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end")
     return whole.select(key, F.col("first").alias("session_start"), end, "n")
 
@@ -199,60 +196,54 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1e6)
 
 
-def step_counts(df: DataFrame, ts: str, *, tie: Sequence[str] = (), unit: str = "day") -> DataFrame:
-    """How often each step between successive rows occurs: ``(step_seconds, n)``."""
-    steps = with_previous(df, ts, tie=tie, unit=unit).where(F.col("previous").isNotNull())
-    return steps.groupBy(seconds_between(F.col(ts), F.col("previous")).alias("step_seconds")).agg(
-        F.count("*").alias("n")
-    )
+def step_counts(df: DataFrame, ts: str) -> DataFrame:
+    """How often each step between successive rows occurs: ``(step_seconds, n)``; rows without a time are left out.
+
+    Moments are counted first, so rows of one moment are one row with as many zero steps as it has further rows.
+    """
+    moments = in_slices(df.where(F.col(ts).isNotNull()).groupBy(ts).agg(F.count("*").alias("_rows")), [ts])
+    steps = _with_previous(moments, ts).where(F.col("previous").isNotNull())
+    moved = steps.groupBy(seconds_between(F.col(ts), F.col("previous")).alias("step_seconds")).agg(F.count("*").alias("n"))
+    stood = moments.agg(F.sum(F.col("_rows") - 1).alias("n")).where("n > 0").select(F.lit(0.0).alias("step_seconds"), "n")
+    return moved.unionByName(stood)
 
 
-def granularity(df: DataFrame, ts: str, *, tie: Sequence[str] = (), unit: str = "day") -> DataFrame:
+def granularity(df: DataFrame, ts: str) -> DataFrame:
     """Most frequent step (smallest on ties), its count, and the number of zero steps."""
-    return step_counts(df, ts, tie=tie, unit=unit).agg(
+    return step_counts(df, ts).agg(
         F.min_by("step_seconds", F.struct(-F.col("n"), F.col("step_seconds"))).alias("dominant_seconds"),
         F.max("n").alias("dominant_n"),
         F.coalesce(F.sum(F.when(F.col("step_seconds") == 0, F.col("n"))), F.lit(0)).alias("same_ts"),
     )
 
 
-def nearest_join(
-    probes: DataFrame, points: DataFrame, *, ts: str, point_ts: str, by: Sequence[str] = (), unit: str = "day"
-) -> DataFrame:
+def nearest_join(probes: DataFrame, points: DataFrame, *, ts: str, point_ts: str, by: Sequence[str] = ()) -> DataFrame:
     """Each probe row with its nearest point in time (``nearest``); the earlier point wins a tie.
 
-    Both sides are laid out in ``(by, bucket)``. Inside a bucket two running windows find the point
-    before and after a probe; for probes near an edge the last point of the earlier and the first of
-    the later buckets are carried over. No pair of sides is ever formed. Probes with an unknown key or
-    time stay, without a point.
+    Both sides are put together, ordered in slices of counted rows and merged: inside a slice two running windows find the point before and
+    after a probe; what lies in other slices comes from their first and last points. No pair of sides is ever formed. Probes with an unknown
+    key or time stay, without a point.
     """
-    keys = [*by, "bucket"]
     cols = probes.columns
-    at = F.coalesce(F.col(ts), F.col("point"))
-    left = probes.withColumns({"point": F.lit(None).cast(points.schema[point_ts].dataType), "bucket": _bucket(ts, unit)})
-    right = points.select(*by, F.col(point_ts).alias("point")).withColumn("bucket", F.date_trunc(unit, "point"))
-    rows = left.unionByName(right, allowMissingColumns=True)
-
-    ahead = W.partitionBy(*keys).orderBy(at, F.col("point").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    back = W.partitionBy(*keys).orderBy(at.desc(), F.col("point").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumns(
-        {"before": F.last("point", True).over(ahead), "after": F.last("point", True).over(back)}
-    ).where(F.col("point").isNull())
-
-    buckets = rows.groupBy(*keys).agg(F.min("point").alias("first_point"), F.max("point").alias("last_point"))
-    up = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    down = W.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    carried = buckets.select(
-        *keys,
-        F.last("last_point", True).over(up).alias("carried_before"),
-        F.last("first_point", True).over(down).alias("carried_after"),
-    )
-    before = F.coalesce("before", "carried_before")
-    after = F.coalesce("after", "carried_after")
+    left = probes.withColumn("point", F.lit(None).cast(points.schema[point_ts].dataType)).withColumn("_probe", F.lit(True))
+    distinct = points.select(*by, F.col(point_ts).alias("point")).where(F.col("point").isNotNull()).distinct().withColumn("_probe", F.lit(False))
+    both = left.unionByName(distinct, allowMissingColumns=True).withColumn("_at", F.coalesce(F.col(ts), F.col("point")))
+    rows = in_slices(both, [*by, "_at", "_probe"])
+
+    ahead = per_slice(by, ["_at", "_probe"]).rowsBetween(W.unboundedPreceding, 0)
+    back = per_slice(by, [F.desc("_at"), "_probe"]).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumns({"before": F.last("point", True).over(ahead), "after": F.last("point", True).over(back)}).where("_probe")
+    edges = rows.groupBy(SLICE, *by).agg(F.min("point").alias("first_point"), F.max("point").alias("last_point"))
+    carried = edges.select(
+        SLICE, *by,
+        F.max("last_point").over(slices_before(by)).alias("carried_before"),
+        F.min("first_point").over(slices_after(by)).alias("carried_after"),
+    )
+    joined = join_edges(found, carried, by)
+    before, after = F.coalesce("before", "carried_before"), F.coalesce("after", "carried_after")
     closer = seconds_between(F.col(ts), before) <= seconds_between(after, F.col(ts))
     nearest = F.when(after.isNull() | closer, before).otherwise(after)
-    joined = found.join(carried, keys, "left")
-    return joined.withColumn("nearest", F.when(_all_known(keys), nearest)).select(*cols, "nearest")
+    return joined.withColumn("nearest", F.when(_all_known([*by, ts]), nearest)).select(*cols, "nearest")
 
 
 def autocorrelation(series: DataFrame, max_lag: int = 40) -> DataFrame:

@@ -253,7 +253,7 @@ def nearest_points(t: Tables):
     grid = t.orders.select((F.date_trunc("day", "o_orderdate") + F.expr("INTERVAL 12 HOURS")).cast("timestamp_ntz").alias("d")).distinct()
     later = F.when(F.col("l_linenumber") > 3, F.col("l_shipdate") + F.expr("INTERVAL 7 HOURS")).otherwise(F.col("l_shipdate"))
     probes = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", later.alias("moment"))
-    return nearest_join(probes, grid, ts="moment", point_ts="d", unit="month")
+    return nearest_join(probes, grid, ts="moment", point_ts="d")
 
 
 # --- aggregations --------------------------------------------------------------------------------
@@ -543,7 +543,7 @@ def direction_sign(t: Tables):
     """,
 )
 def time_granularity(t: Tables):
-    return granularity(t.orders.select("o_orderdate"), "o_orderdate", unit="month")
+    return granularity(t.orders.select("o_orderdate"), "o_orderdate")
 
 
 @query(
@@ -554,7 +554,7 @@ def time_granularity(t: Tables):
     """,
 )
 def steps(t: Tables):
-    return step_counts(t.orders.select("o_orderdate"), "o_orderdate", unit="month")
+    return step_counts(t.orders.select("o_orderdate"), "o_orderdate")
 
 
 # --- ranks, sorts, samples -----------------------------------------------------------------------

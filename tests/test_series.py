@@ -157,3 +157,60 @@ def test_sessions_against_brute_force(spark, gap):
             run.append(t)
         want.add((key, run[0], run[-1] + wait, len(run)))
     assert got == want
+
+
+@pytest.fixture
+def slices(monkeypatch):
+    """The sliced rows that an operator works on."""
+    made, plain = [], ops.in_slices
+    monkeypatch.setattr(ops, "in_slices", lambda df, order, n=16: made.append(plain(df, order, n)) or made[-1])
+    return made
+
+
+def half_in_one_day(n=4000):
+    """One key holds most rows, one day half of them, one minute a fifth."""
+    rng, rows = random.Random(11), []
+    for i in range(n):
+        minutes = rng.randrange(30) * 1440 + rng.randrange(1440) if i % 2 else 14_400 + (0 if i % 10 < 4 else rng.randrange(1440))
+        rows.append((i, "hot" if rng.random() < 0.8 else "cold", T0 + dt.timedelta(minutes=minutes)))
+    return rows
+
+
+def largest(made):
+    sizes = [r["count"] for d in made for r in d.groupBy("_slice").count().collect()]
+    return max(sizes) / (sum(sizes) / 16)
+
+
+def test_a_full_day_is_spread_over_slices(spark, slices):
+    rows = half_in_one_day()
+    df = spark.createDataFrame(rows, "id int, k string, t timestamp_ntz").repartition(6)
+    got = {r["id"]: r["previous"] for r in ops.with_previous(df, "t", by=["k"], tie=["id"]).collect()}
+    last, want = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i], last[k] = last.get(k), t
+    assert got == want
+    assert largest(slices) < 2
+
+    slices.clear()
+    points = spark.createDataFrame([("hot", T0 + dt.timedelta(hours=h)) for h in range(0, 800, 7)], "k string, p timestamp_ntz")
+    near = {r["id"]: r["nearest"] for r in ops.nearest_join(df, points, ts="t", point_ts="p", by=["k"]).collect()}
+    for i, k, t in rows:
+        assert near[i] == (min((T0 + dt.timedelta(hours=h) for h in range(0, 800, 7)), key=lambda p: (abs(p - t), p)) if k == "hot" else None)
+    assert largest(slices) < 2
+
+    slices.clear()
+    sessions = ops.sessionize(df, "t", "k", gap_seconds=300).collect()
+    assert sum(r["n"] for r in sessions) == len(rows)
+    assert largest(slices) < 2
+
+
+def test_steps_of_a_full_day(spark, slices):
+    rows = half_in_one_day()
+    df = spark.createDataFrame([*rows, (-1, "hot", None)], "id int, k string, t timestamp_ntz").repartition(6)
+    times = sorted(t for _, _, t in rows)
+    want = {}
+    for a, b in zip(times, times[1:], strict=False):
+        want[(b - a).total_seconds()] = want.get((b - a).total_seconds(), 0) + 1
+    assert {r["step_seconds"]: r["n"] for r in ops.step_counts(df, "t").collect()} == want
+    assert largest(slices) < 2
+    assert ops.step_counts(df.where("false"), "t").collect() == []
