@@ -137,27 +137,55 @@ def fit_params(df: DataFrame, features: Sequence[str], value: str) -> dict:
     }
 
 
+#: More rows than wanted by so many deviations are expected below the first threshold of a sample.
+MARGIN = 6.0
+HASHES = 1 << 62
+
+
+def smallest(rows: DataFrame, n: int, total: int, *, by: Sequence[str], hash_: str, copies: int = 1) -> DataFrame:
+    """The ``n`` rows of smallest ``hash_`` (0 to 2^62) per group, with their ``place`` from 1; all rows of smaller groups.
+
+    ``total`` is the number of rows of a group. Rows below a threshold that leaves little more than ``n`` of them are counted, and the threshold is
+    raised until every group has enough, so what is ordered is about as large as the sample. Equal rows are one row with a number until their
+    places are known.
+    """
+    share = min(1.0, (n + MARGIN * n**0.5 + 20) / max(total, 1))
+    names = [c for c in rows.columns if c not in by]
+    while True:
+        near = rows.where(F.col(hash_) < int(share * HASHES)) if share < 1 else rows
+        counted = checkpointed(near.groupBy(*by, *names).agg(F.count("*").alias("_rows")))
+        if share >= 1:
+            break
+        sizes = counted.groupBy(*by).agg(F.sum("_rows").alias("_n"))
+        if sizes.where(F.col("_n") >= n).count() == copies:
+            break
+        share = min(1.0, 4 * share)
+    upto = F.sum("_rows").over(W.partitionBy(*by).orderBy(hash_, *[c for c in names if c != hash_]).rowsBetween(W.unboundedPreceding, 0))
+    cut = counted.withColumn("_upto", upto).withColumn("_first", F.col("_upto") - F.col("_rows") + 1).where(F.col("_first") <= n)
+    places = F.explode(F.sequence(F.col("_first"), F.least(F.col("_upto"), F.lit(n))))
+    return cut.select(*by, *names, places.alias("place"))
+
+
 def tree_samples(
     df: DataFrame, columns: list[Column], n: int, *, hash_cols: Sequence[str], n_trees: int, size: int, seed: int
 ) -> DataFrame:
     """``(tree_id, s0..)``: ``size`` rows per tree, chosen by a seeded hash of the row.
 
-    With enough rows the trees get disjoint samples out of one top list; a small table is offered to
-    every tree instead. The hash is taken of unscaled source columns; rows that agree in them are
-    interchangeable, so the choice does not depend on the partitioning.
+    Trees are taken in groups of as many as the table has disjoint samples for. Every group has a hash of its own, and its rows of smallest hash are dealt
+    to its trees in turn. The hash is taken of unscaled source columns; rows that agree in them are interchangeable, so the choice does
+    not depend on the partitioning.
     """
+    if not n:
+        return df.select(F.lit(0).alias("tree_id"), *[c.alias(f"s{i}") for i, c in enumerate(columns)]).limit(0)
     names = [f"s{i}" for i in range(len(columns))]
-    rows = df.select(*columns, *[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(hash_cols)])
-    ident = [f"id{i}" for i in range(len(hash_cols))]
-    if n >= n_trees * size:
-        hashed = rows.withColumn("h", F.xxhash64(*ident, F.lit(seed)))
-        chosen = hashed.orderBy("h", *ident).limit(n_trees * size)
-        place = F.row_number().over(W.orderBy("h", *ident))
-        return chosen.withColumn("tree_id", F.pmod(place, F.lit(n_trees)).cast("int")).select("tree_id", *names)
-    offered = rows.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    hashed = offered.withColumn("h", F.xxhash64(*ident, F.lit(seed), "tree_id"))
-    place = F.row_number().over(W.partitionBy("tree_id").orderBy("h", *ident))
-    return hashed.withColumn("place", place).where(F.col("place") <= size).select("tree_id", *names)
+    together = max(1, min(n_trees, n // size))
+    groups = -(-n_trees // together)
+    rows = df.select(*[c.alias(s) for c, s in zip(columns, names, strict=True)], *[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(hash_cols)])
+    offered = rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    hash_ = F.pmod(F.xxhash64(*[f"id{i}" for i in range(len(hash_cols))], F.lit(seed), "_group"), F.lit(HASHES))
+    chosen = smallest(offered.withColumn("_hash", hash_), together * size, n, by=["_group"], hash_="_hash", copies=groups)
+    tree = F.col("_group") * together + F.pmod(F.col("place") - 1, F.lit(together))
+    return chosen.withColumn("tree_id", tree.cast("int")).where(F.col("tree_id") < n_trees).select("tree_id", *names)
 
 
 def grow_tree(x: np.ndarray, seed: Sequence[int], max_depth: int) -> dict[str, list]:
@@ -363,14 +391,29 @@ def arithmetic_hash(key: Column, salt: int) -> Column:
 
 
 def hash_sample(df: DataFrame, n: int, key: Column, *, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded arithmetic hash of an integer key, or all if fewer.
+    """``n`` rows in the order of a seeded arithmetic hash of an integer key, or all if fewer; rows without a key are no candidates
+    while there are enough others.
 
-    Fixed size and repeatable, whatever the partitioning.
+    Fixed size and repeatable, whatever the partitioning. Only rows below a counted threshold are ordered, so a task gets about ``n`` rows and
+    not ``n`` from every partition.
     """
-    return df.withColumn("h", arithmetic_hash(key, seed)).orderBy("h", key).limit(n).drop("h")
+    hashed = df.withColumn("_h", arithmetic_hash(key, seed)).withColumn("_key", key)
+    total = hashed.agg(F.count("_h")).first()[0]
+    share = (n + MARGIN * n**0.5 + 20) / max(total, 1)
+    while share < 1:
+        near = hashed.where(F.col("_h") < int(share * (1 << 32)))
+        if near.limit(n).count() == n:
+            hashed = near
+            break
+        share *= 4
+    return hashed.orderBy(F.asc_nulls_last("_h"), "_key").limit(n).drop("_h", "_key")
 
 
 def hash_split(df: DataFrame, key: Column, *, share: float = 0.2, salt: int = 0) -> DataFrame:
-    """Adds ``part``: ``test`` for about ``share`` of the keys, the rest ``train``."""
-    bucket = arithmetic_hash(key, salt) % 1000
+    """Adds ``part``: ``test`` for about ``share`` of the keys, the rest ``train``. Splits with different salts are independent of each other."""
+    first = arithmetic_hash(key, salt)
+    if salt:  # a shifted key would only shift the hash, so halves trade places and are mixed again
+        turned = F.pmod((first % 65536) * 65536 + F.floor(first / 65536) + F.lit(salt) * 40503, F.lit(4294967296))
+        first = F.floor((turned % 2147483648) * F.lit(2654435761) % F.lit(4294967296) / 4096)
+    bucket = first % 1000
     return df.withColumn("part", F.when(bucket < int(share * 1000), "test").otherwise("train"))

@@ -268,15 +268,3 @@ def average_ranks(df: DataFrame, col: str, *, name: str = "avg_rank") -> DataFra
     above = join_edges(counted.withColumn("inner", F.coalesce(inner, F.lit(0))), shift, [])
     rank = F.floor(F.col("inner") + F.col("shift") + (F.col("ties") + 1) / 2).cast("long")
     return df.join(broadcast_if_small(above.select(col, rank.alias(name))), col, "left").select(*df.columns, name)
-
-
-def slice_of(v: Column, cuts: Sequence[float]) -> Column:
-    """Number of the range slice of a value, as a balanced tree of comparisons with literal cuts."""
-
-    def branch(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v <= cuts[mid], branch(lo, mid)).otherwise(branch(mid + 1, hi))
-
-    return branch(0, len(cuts))

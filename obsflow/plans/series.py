@@ -418,5 +418,5 @@ def drift_summary(t: Tables):
 )
 def ks_daily(t: Tables):
     windows = ops.adjacent_windows(orders_daily(t), 30)
-    report = drift.drift_report(windows, ["y"], F.col("part") == "reference")
+    report = drift.drift_report(windows, ["y"], F.col("part") == "reference", method="exact")
     return report.select("feature", "n_ref", "n_cur", r6("d"), r6("p_value"))

@@ -149,3 +149,46 @@ def test_rendered_sentence(spark):
         "On 2024-07-01, Kuwait experienced a severe scorching, extreme heat temperature anomaly: "
         "temperature 52.3C, z-score 4.1, detected by both."
     )
+
+
+@pytest.mark.parametrize("n", [30, 400, 4000, 40_000])
+def test_one_design_of_samples_for_every_size(spark, n):
+    df = spark.range(n).select((F.col("id") * 7 % n).cast("double").alias("a"))
+
+    def drawn(parts):
+        rows = anomaly.tree_samples(
+            df.repartition(parts), [F.col("a")], n, hash_cols=["a"], n_trees=12, size=min(50, n), seed=1
+        ).collect()
+        return {i: sorted(r["s0"] for r in rows if r["tree_id"] == i) for i in range(12)}
+
+    one, many = drawn(1), drawn(8)
+    assert one == many
+    assert all(len(v) == min(50, n) == len(set(v)) for v in one.values())
+    if n >= 400:
+        assert len({tuple(v) for v in one.values()}) == 12
+    if n >= 4000:
+        assert len({x for v in one.values() for x in v}) == 600  # disjoint
+
+
+def test_samples_of_a_hot_value(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1.0).otherwise(F.col("id").cast("double")).alias("a"))
+    rows = anomaly.tree_samples(df, [F.col("a")], 9000, hash_cols=["a"], n_trees=6, size=100, seed=3).collect()
+    assert len(rows) == 600 and {r["tree_id"] for r in rows} == set(range(6))
+
+
+def test_a_sample_is_the_head_of_the_hash_order(spark):
+    df = spark.range(20_000).withColumn("key", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id")))
+    got = sorted(r["id"] for r in anomaly.hash_sample(df, 300, F.col("key")).collect())
+    want = df.where("key is not null").withColumn("h", anomaly.arithmetic_hash(F.col("key"), 42)).orderBy("h", "key").limit(300)
+    assert got == sorted(r["id"] for r in want.collect())
+    assert anomaly.hash_sample(df, 19_000, F.col("key")).count() == 19_000
+
+
+def test_nested_splits_are_independent(spark):
+    df = spark.range(100_000)
+    inner = anomaly.hash_split(anomaly.hash_split(df, F.col("id")).where("part = 'train'").drop("part"), F.col("id"), salt=7)
+    share = inner.agg(F.avg((F.col("part") == "test").cast("double"))).first()[0]
+    assert abs(share - 0.2) < 0.005
+    both = anomaly.hash_split(df, F.col("id"), salt=1).withColumnRenamed("part", "p1")
+    both = anomaly.hash_split(both, F.col("id"), salt=2)
+    assert abs(both.agg(F.avg(((F.col("p1") == "test") & (F.col("part") == "test")).cast("double"))).first()[0] - 0.04) < 0.004

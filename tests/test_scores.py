@@ -108,8 +108,31 @@ def test_exact_p_value_by_enumeration(spark):
     pool, d = np.arange(8.0), brute_d(a, b)
     splits = [(pool[list(c)], np.delete(pool, c)) for c in combinations(range(8), 4)]
     want = np.mean([brute_d(x, y) >= d - 1e-12 for x, y in splits])
-    row = drift.drift_report(two_samples(spark, a, b), ["v"], F.col("ref")).first()
+    row = drift.drift_report(two_samples(spark, a, b), ["v"], F.col("ref"), method="exact").first()
     assert row["p_value"] == pytest.approx(want)
+    with pytest.raises(ValueError, match="method"):
+        drift.ks_p_value(F.lit(0.5), F.lit(3), F.lit(3), method="size")
+
+
+@pytest.mark.parametrize("kind", ["shifted", "same", "hot", "infinite"])
+def test_only_slices_that_can_hold_the_distance_are_open(spark, kind):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=3000), rng.normal(0.5 if kind == "shifted" else 0, 1, 3000)
+    if kind == "hot":
+        a[:1000] = b[:1400] = 0.25
+    if kind == "infinite":
+        a[:30], b[:200], b[200:220] = -np.inf, -np.inf, np.inf
+    df = two_samples(spark, a, b)
+    assert drift.ks_statistics(df, ["v"], F.col("ref"), slices=40).first()["d"] == pytest.approx(brute_d(a, b), abs=1e-12)
+    ends = drift.open_slices(drift.counted_values(df, ["v"], F.col("ref"), 40)).collect()
+    opened = sum(r["open"] for r in ends)
+    assert len(ends) >= 30 and (opened < 15 if kind in ("shifted", "hot") else opened <= len(ends))
+
+
+def test_a_side_without_values_has_no_distance(spark):
+    df = spark.createDataFrame([(True, 1.0), (True, 2.0), (False, None)], "ref boolean, v double")
+    row = drift.drift_report(df, ["v"], F.col("ref")).first()
+    assert (row["n_ref"], row["n_cur"], row["d"], row["p_value"]) == (2, 0, None, None)
 
 
 def test_drift_verdicts(spark):
