@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsflow.llm.text import LETTERS, Hasher, pieces, word_spans
+from obsflow.llm.text import LETTERS, pieces, range_hashes, word_spans
 
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 1 << 20
 MIN_WORDS, UNIT, PASSAGE, STRIDE = 8, 64, 64, 8  # a unit's words fit the bits of one integer
@@ -38,7 +38,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes of all words and where each text's words begin."""
     folded = FOLD[data]
     start, end, text = word_spans(folded != 32, offsets)
-    return Hasher(folded)(start, end), np.searchsorted(text, np.arange(len(offsets)))
+    return range_hashes(folded, start, end), np.searchsorted(text, np.arange(len(offsets)))
 
 
 def words_of_text(text: str) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obsflow.llm.components import connected
-from obsflow.llm.text import STEP, combine, lists, mix, pieces, signed, word_hashes
+from obsflow.llm.text import STEP, WORD_PIECE_BYTES, combine, lists, mix, pieces, signed, word_hashes
 from obsflow.session import checkpointed
 
 WORDS, PERCENT = 5, 80
@@ -150,7 +150,7 @@ def set_table(docs: DataFrame, width: int = WORDS, seed: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1)):
+            for lo, hi, data, offsets in pieces(batch.column(1), WORD_PIECE_BYTES):
                 sets = shingle_sets(data, offsets, width)
                 a, b = digests(sets, seed)
                 size = np.array([len(s) for s in sets], np.int64)
@@ -179,7 +179,7 @@ def signature_rows(docs: DataFrame, width: int, percent: int, seed: int, hot: Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, often = Bands(percent), shared.value
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1)):
+            for lo, hi, data, offsets in pieces(batch.column(1), WORD_PIECE_BYTES):
                 sets = shingle_sets(data, offsets, width)
                 node = signed(digests(sets, seed)[0])
                 ids = batch.column(0).slice(lo, hi - lo)
@@ -212,7 +212,7 @@ def set_contents(docs: DataFrame, width: int, seed: int, wanted: DataFrame, bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
+            for _, _, data, offsets in pieces(batch.column(0), WORD_PIECE_BYTES):
                 sets = shingle_sets(data, offsets, width)
                 node, _ = digests(sets, seed)
                 first = np.sort(np.unique(node, return_index=True)[1])

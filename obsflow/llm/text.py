@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 21
+#: Pieces whose words are hashed one by one.
+WORD_PIECE_BYTES = 1 << 19
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15  # odd, so that its powers can be inverted modulo 2**64
 
@@ -104,8 +106,34 @@ def word_spans(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, text
 
 
+#: Hash values of a byte at each of the first positions of a word.
+_AT = 64
+_placed: list[np.ndarray] = []
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that do not overlap and are not empty, to tell them apart.
+
+    A hash is the sum of a value of its own for every position and byte, so no structure of a text makes two of them meet.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    if not _placed:
+        _placed.append(mix(np.arange(1, 256 * _AT + 1, dtype=np.uint64) * np.uint64(STEP)))
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    cell = place * 256 + data[np.repeat(start, size) + place]
+    far = np.flatnonzero(place >= _AT)
+    values = _placed[0][cell if not len(far) else np.minimum(cell, 256 * _AT - 1)]
+    values[far] = mix((cell[far] + 1).astype(np.uint64) * np.uint64(STEP))
+    return mix(np.add.reduceat(values, first) + size.astype(np.uint64))
+
+
 class Hasher:
-    """64-bit hashes of byte ranges of one piece; equal byte strings have equal hashes."""
+    """64-bit hashes of byte ranges of one piece, for features; ranges may overlap. Equal byte strings have equal hashes, but texts can be made
+    whose different strings have one, so it is not for telling strings apart.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -120,7 +148,7 @@ class Hasher:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every word, its text, and where each text's words begin (one more entry than texts)."""
     start, end, text = word_spans(~IS_SPACE[data], offsets)
-    hashes = Hasher(LOWER[data] if lower else data)(start, end)
+    hashes = range_hashes(LOWER[data] if lower else data, start, end)
     return hashes, text, np.searchsorted(text, np.arange(len(offsets)))
 
 

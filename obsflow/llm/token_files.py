@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from obsflow.llm.text import IS_SPACE, Hasher, lists, pieces
+from obsflow.llm.text import IS_SPACE, distinct_segments, lists, pieces
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, tokens array<int>"
 
-#: A task remembers the ids of up to so many distinct segments.
-KNOWN_SEGMENTS = 1_500_000
+#: A task forgets the segments it knows when they and their ids have so many bytes.
+KNOWN_BYTES = 64 << 20
+#: So many segments, and single texts among them, go through the tokenizer at a time.
+NEW_SEGMENTS, ROWS = 20_000, 256
 NEWLINE = 10
 
 _plain = np.zeros(256, bool)  # ASCII characters that are seen and no white space to any tokenizer
@@ -72,8 +74,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def tokenize(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments and the length of each. Segments without inner white space go in rows, cut at the line feeds between."""
@@ -83,15 +85,18 @@ class Encoder:
         if len(self.newline) != 1:
             alone = list(range(len(segments)))
         ids: list[list[int]] = [[]] * len(segments)
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([segments[i] for i in alone], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
+        for k in range(0, len(alone), ROWS):
+            some = alone[k : k + ROWS]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([segments[i] for i in some], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
         rows = [rest[k : k + 500] for k in range(0, len(rest), 500)]
-        texts = ["\n".join(segments[i] for i in row) for row in rows]
-        for row, e in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            found = e.ids
-            at = [-1, *(k for k, x in enumerate(found) if x == self.newline[0]), len(found)]
-            for i, lo, hi in zip(row, at[:-1], at[1:], strict=True):
-                ids[i] = found[lo + 1 : hi]
+        for k in range(0, len(rows), 8):
+            texts = ["\n".join(segments[i] for i in row) for row in rows[k : k + 8]]
+            for row, e in zip(rows[k : k + 8], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                found = e.ids
+                at = [-1, *(j for j, x in enumerate(found) if x == self.newline[0]), len(found)]
+                for i, lo, hi in zip(row, at[:-1], at[1:], strict=True):
+                    ids[i] = found[lo + 1 : hi]
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,28 +104,24 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         start = segment_starts(data, offsets)
-        end = np.append(start[1:], len(data))
-        hashes, first, which = np.unique(Hasher(data)(start, end), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        new = np.flatnonzero(self.hashes[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
-        if len(new):
-            if len(self.hashes) + len(new) > KNOWN_SEGMENTS and len(self.hashes):
-                self.forget()
-                new = np.arange(len(hashes))
-            body = data.tobytes()
-            segments = [body[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            ids, lengths = self.tokenize(segments)
-            places = len(self.bounds) - 1 + np.arange(len(new))
-            self.bounds = np.concatenate([self.bounds, len(self.ids) + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, ids])
-            where = np.searchsorted(self.hashes, hashes[new])
-            self.hashes, self.places = np.insert(self.hashes, where, hashes[new]), np.insert(self.places, where, places)
-            at = np.searchsorted(self.hashes, hashes)
-        place = self.places[at][which]
-        low, size = self.bounds[place], np.diff(self.bounds)[place]
+        found, which = distinct_segments(data, start)
+        if self.size > KNOWN_BYTES:
+            self.forget()
+        new = [s for s in found if s not in self.known]
+        for k in range(0, len(new), NEW_SEGMENTS):
+            some = new[k : k + NEW_SEGMENTS]
+            ids, lengths = self.tokenize([s.decode() for s in some])
+            body, at = ids.tobytes(), (4 * np.concatenate([[0], np.cumsum(lengths)])).tolist()
+            for s, lo, hi in zip(some, at[:-1], at[1:], strict=True):
+                self.known[s] = body[lo:hi]
+                self.size += len(s) + hi - lo + 150
+        parts = [self.known[s] for s in found]
+        flat = np.frombuffer(b"".join(parts), np.int32)
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        low, size = (np.cumsum(length) - length)[which], length[which]
         before = np.cumsum(size) - size
-        ids = self.ids[np.repeat(low - before, size) + np.arange(size.sum())]
-        total = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(low - before, size) + np.arange(int(size.sum()))]
+        total = np.concatenate([before, [len(ids)]])
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 

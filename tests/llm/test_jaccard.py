@@ -99,3 +99,13 @@ def test_connected(llm, edges):
             part[a] = part[b] = min(part[a], part[b])
     assert {r.node: r.component for r in connected(links).collect()} == part
     assert connected(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).count() == len(part)
+
+
+def test_words_made_to_share_a_polynomial_hash(llm):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"{word} b c d e"), (2, f"{other} b c d e"), (3, f"{other} b c d e")]
+    found = jaccard.jaccard_components(llm.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 2}
