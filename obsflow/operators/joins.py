@@ -28,6 +28,20 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], *, keep_missing:
     return df.join(broadcast_if_small(table), list(on), "left" if keep_missing else "inner")
 
 
+def without_part(df: DataFrame, cols: Sequence[str], part: str) -> DataFrame:
+    """Texts of ``cols`` without ``part``, wherever it stands (the common prefix of column names in a table of pairs); nulls stay."""
+    return df.withColumns({c: F.replace(F.col(c), F.lit(part), F.lit("")) for c in cols}) if part else df
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with other column names. An unknown column, or a name that would then stand twice, is an error."""
+    unknown = [c for c in names if c not in df.columns]
+    after = [names.get(c, c) for c in df.columns]
+    if unknown or len(set(after)) < len(after):
+        raise ValueError(f"cannot rename to {after}: unknown columns {unknown}" if unknown else f"names stand twice in {after}")
+    return df.withColumnsRenamed(names)
+
+
 def pivot_series(long: DataFrame, series: str, value: str, names: Sequence[str], *, row: str = "ds") -> DataFrame:
     """One column per named series, one row per date; the names are given, so no extra job looks for them."""
     return long.groupBy(row).pivot(series, list(names)).agg(F.avg(value))

@@ -626,6 +626,25 @@ def hash_split(t: Tables):
     return split.groupBy("part").agg(F.count("*").alias("n"), r6(F.avg("l_extendedprice"), "y", 4))
 
 
+# --- names ---------------------------------------------------------------------------------------
+
+LINE_PAIRS = [(x, y) for x in ("l_quantity", "l_discount") for y in ("l_extendedprice", "l_tax", "l_linenumber")]
+
+
+@query(
+    "strip_prefix",
+    " UNION ALL ".join(
+        f"SELECT replace('{x}', 'l_', '') AS driver, replace('{y}', 'l_', '') AS measure, round(corr({x}, {y}), 6) AS correlation, "
+        f"round(abs(corr({x}, {y})), 6) AS strength FROM lineitem"
+        for x, y in LINE_PAIRS
+    ),
+)
+def strip_prefix(t: Tables):
+    pairs = profile.correlations(t.lineitem, LINE_PAIRS)
+    named = joins.renamed(joins.without_part(pairs, ["x", "y"], "l_"), {"x": "driver", "y": "measure", "r": "correlation"})
+    return named.select("driver", "measure", r6("correlation"), r6(F.abs("correlation"), "strength"))
+
+
 # --- set operations ------------------------------------------------------------------------------
 
 

@@ -93,3 +93,14 @@ def test_config():
     assert Config.from_dict({"seed": 7}).seed == 7
     with pytest.raises(ValueError, match="nonsense"):
         Config.from_dict({"nonsense": 1})
+
+
+def test_names_without_prefix(spark):
+    from obsflow.operators import joins
+
+    df = spark.createDataFrame([("air_quality_pm", "air_quality_o3"), ("wind", None)], "x string, y string")
+    got = [tuple(r) for r in joins.renamed(joins.without_part(df, ["x", "y"], "air_quality_"), {"x": "driver"}).collect()]
+    assert got == [("pm", "o3"), ("wind", None)]
+    for names in ({"z": "a"}, {"x": "y"}):
+        with pytest.raises(ValueError, match="rename|twice"):
+            joins.renamed(df, names)
