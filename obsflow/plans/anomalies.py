@@ -176,8 +176,7 @@ def forest_table(t: Tables):
 PARAMS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-@query(
-    "anomaly_params",
+ANOMALY_PARAMS_SQL = (
     """WITH h AS (SELECT nullif(l_quantity, 7.0) AS l_quantity, l_extendedprice, l_discount FROM lineitem),
     z AS (SELECT avg(l_quantity) AS mu, stddev_pop(l_quantity) AS sigma FROM h), """
     + ", ".join(
@@ -188,11 +187,17 @@ PARAMS = ["l_quantity", "l_extendedprice", "l_discount"]
     + ", u AS ("
     + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(PARAMS)))
     + """) SELECT feature, round(median, 6) AS median, round(mean, 7) AS mean, round(scale, 5) AS scale, min, max, round(mu, 6) AS mu, round(sigma, 6) AS sigma,
-    3.0::DOUBLE AS threshold, CAST(256 AS INTEGER) AS max_samples FROM u, z""",
+    3.0::DOUBLE AS threshold, CAST(256 AS INTEGER) AS max_samples FROM u, z"""
 )
+
+
+def holed_lines(t: Tables) -> DataFrame:
+    return t.lineitem.withColumn("l_quantity", F.nullif("l_quantity", F.lit(7.0)))
+
+
+@query("anomaly_params", ANOMALY_PARAMS_SQL)
 def anomaly_params(t: Tables):
-    holed = t.lineitem.withColumn("l_quantity", F.nullif("l_quantity", F.lit(7.0)))
-    model = anomaly.fit_anomaly_models(holed, features=PARAMS, id_cols=IDS)
+    model = anomaly.fit_anomaly_models(holed_lines(t), features=PARAMS, id_cols=IDS)
     table = model.params(t.spark)
     digits = {"median": 6, "mean": 7, "scale": 5, "mu": 6, "sigma": 6}
     return table.select("feature", *[r6(c, digits=d) for c, d in digits.items()], "min", "max", "threshold", "max_samples")

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsflow.operators import anomaly, evaluate, explain
+from obsflow.functions import scalar
+from obsflow.operators import anomaly, evaluate, explain, search
 from obsflow.operators import series as ops
-from obsflow.plans.anomalies import FLAGS, RECORDS_SQL, flagged_events, flags
+from obsflow.plans.anomalies import ANOMALY_PARAMS_SQL, FLAGS, IDS, PARAMS, RECORDS_SQL, flagged_events, flags, holed_lines
 from obsflow.plans.catalog import Tables, query, r6
 from obsflow.plans.series import BASE, DAILY, ENSEMBLES, naive_run, orders_daily
 from obsflow.session import checkpoint_folder, checkpointed
@@ -99,13 +100,8 @@ def contract_roundtrip(t: Tables):
     SELECT picked.ts, country, lat, lon, temp_c, detected_by, z_count, if_count, overlap_count FROM picked, m""",
 )
 def contract_anomalies(t: Tables):
-    records = anomaly.anomaly_records(
-        flagged_events(t), ts="ts", country=F.col("event_type"), lat=F.col("user_id").cast("double"),
-        lon=F.col("event_id").cast("double"), temp=F.col("value"),
-    )
-    sample = anomaly.hash_sample(records, 150, F.col("lon").cast("long"))
     summary = anomaly.method_summary(flags(t), threshold=1.5, contamination=0.02, a="a", b="b")
-    section = contract.validate("anomalies", contract.build_anomalies(summary, sample, generated_at=STAMP))
+    section = contract.validate("anomalies", contract.build_anomalies(summary, sampled_records(t), generated_at=STAMP))
     flat = section.select(
         F.inline("records"), F.col("methods.zscore.count").alias("z_count"),
         F.col("methods.isolation_forest.count").alias("if_count"), F.col("methods.overlap_count").alias("overlap_count"),
@@ -113,6 +109,62 @@ def contract_anomalies(t: Tables):
     return flat.select("ts", "country", "lat", "lon", "temp_c", "detected_by", "z_count", "if_count", "overlap_count")
 
 
+def sampled_records(t: Tables) -> DataFrame:
+    """The 150 records that are published."""
+    records = anomaly.anomaly_records(
+        flagged_events(t), ts="ts", country=F.col("event_type"), lat=F.col("user_id").cast("double"),
+        lon=F.col("event_id").cast("double"), temp=F.col("value"),
+    )
+    return anomaly.hash_sample(records, 150, F.col("lon").cast("long"))
+
+
+EXAMPLE_QUERIES = ["errors with a very high value", "unusual clicks", "a severe anomaly detected by both"]
+
+
+@query(
+    "contract_embeddings",
+    f"""WITH r AS ({RECORDS_SQL.strip()}),
+    picked AS (SELECT * FROM r ORDER BY (CAST(lon AS BIGINT) + 42) % 2147483648 * 2654435761 % 4294967296, lon LIMIT 150)
+    SELECT 'record' AS kind, country || ' ' || ts AS text, detected_by, 384 AS dim, 1.0::DOUBLE AS length FROM picked
+    UNION ALL SELECT 'query', unnest([{", ".join(f"'{q}'" for q in EXAMPLE_QUERIES)}]), NULL, 384, 1.0""",
+)
+def contract_embeddings(t: Tables):
+    texts = sampled_records(t).withColumn("text", scalar.render_record(F.col("ts"), F.col("country"), F.col("temp_c"), F.col("z"), F.col("detected_by")))
+    texts = checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))
+    asked = t.spark.createDataFrame([(i, q) for i, q in enumerate(EXAMPLE_QUERIES)], "id long, text string")
+    embed = search.fit_text_embedder(texts.select("text").union(asked.select("text")))
+    records, queries = search.SemanticIndex(texts, embed, id_col="id", text="text").payload(asked)
+    folder = scratch(t)
+    contract.write_section(contract.build_embeddings(records, queries, model="hashed-tfidf-384"), folder, "embeddings")
+    section = contract.read_section(t.spark, folder, "embeddings")
+    length = F.bround(scalar.norm(F.col("embedding")), 3).alias("length")
+    rows = section.select("dim", F.inline("records")).select(
+        F.lit("record").alias("kind"), F.concat_ws(" ", "country", "ts").alias("text"), "detected_by", "dim", length
+    )
+    nobody = F.lit(None).cast("string").alias("detected_by")
+    return rows.union(section.select("dim", F.inline("queries")).select(F.lit("query").alias("kind"), "text", nobody, "dim", length))
+
+
+@query("contract_model", ANOMALY_PARAMS_SQL.replace("AS max_samples FROM", "AS max_samples, CAST(200 AS INTEGER) AS trees, CAST(51200 AS BIGINT) AS root_rows FROM"))
+def contract_model(t: Tables):
+    _, model = anomaly.isolation_forest(holed_lines(t), PARAMS, id_cols=IDS)
+    folder = scratch(t)
+    contract.write_section(contract.build_model(t.spark, model, generated_at=STAMP), folder, "model")
+    section = contract.read_section(t.spark, folder, "model")
+    forest = F.col("isolation_forest")
+    roots = F.aggregate(forest["trees"], F.lit(0).cast("long"), lambda n, tree: n + tree["n_node_samples"][0])
+    columns = F.arrays_zip(
+        F.col("features").alias("feature"), F.col("medians").alias("median"), F.col("scaler.mean").alias("mean"), F.col("scaler.scale").alias("scale"),
+        F.col("feature_ranges.min").alias("min"), F.col("feature_ranges.max").alias("max"),
+    )
+    table = section.select(
+        F.inline(columns), F.col("zscore.mu").alias("mu"), F.col("zscore.sigma").alias("sigma"), F.col("zscore.threshold").alias("threshold"),
+        forest["max_samples"].alias("max_samples"), F.size(forest["trees"]).alias("trees"), roots.alias("root_rows"),
+    )
+    digits = {"median": 6, "mean": 7, "scale": 5, "mu": 6, "sigma": 6}
+    return table.select("feature", *[r6(c, digits=d) for c, d in digits.items()], "min", "max", "threshold", "max_samples", "trees", "root_rows")
+
+
 @query("contract_shap")
 def contract_shap(t: Tables):
     from obsflow.plans.forecasting import explained_sample
@@ -122,7 +174,7 @@ def contract_shap(t: Tables):
         explain.mean_abs_shap(points), points, generated_at=STAMP, sample_n=1000,
         order=F.struct("l_orderkey", "l_linenumber", "l_partkey"), model="gbt", target="l_extendedprice",
     )
-    return contract.validate("shap", section).select(F.inline("features"), "sample_n", F.size("beeswarm").alias("swarms"))
+    return contract.validate("shap", section, {"target": ["l_extendedprice"]}).select(F.inline("features"), "sample_n", F.size("beeswarm").alias("swarms"))
 
 
 @query(
