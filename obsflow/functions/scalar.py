@@ -181,5 +181,6 @@ def round_vector(v: Column, digits: int = 6) -> Column:
 
 
 def standardize(c: Column, median: Column, mean: Column, scale: Column) -> Column:
-    """Median in place of a missing value, then centre and scale."""
-    return (F.coalesce(number(c), median) - mean) / scale
+    """Median in place of a value that is missing or not finite, then centre and scale."""
+    known = number(c)
+    return (F.when(F.abs(known) < float("inf"), known).otherwise(median) - mean) / scale

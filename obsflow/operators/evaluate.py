@@ -49,12 +49,13 @@ def inverse_rmse_weights(metrics: DataFrame) -> DataFrame:
 
 
 def weighted_ensemble(predictions: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum of the models of a row."""
+    """Weighted mean of the models of a row; a model without a prediction leaves its weight to the others."""
+    known = F.col("y_hat").isNotNull()
     return (
         predictions.join(weights, ["key", "model_id"])
         .groupBy("key", "ds")
-        .agg(F.sum(F.col("weight") * F.col("y_hat")).alias("y_hat"))
-        .withColumn("model_id", F.lit(WEIGHTED))
+        .agg(F.sum(F.when(known, F.col("weight") * F.col("y_hat"))).alias("y_hat"), F.sum(F.when(known, F.col("weight"))).alias("_whole"))
+        .select("key", "ds", (F.col("y_hat") / F.nullif("_whole", F.lit(0.0))).alias("y_hat"), F.lit(WEIGHTED).alias("model_id"))
     )
 
 

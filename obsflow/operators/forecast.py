@@ -7,7 +7,7 @@ one pooled model over the feature rows of all keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsflow.operators.series import per_key
-from obsflow.session import broadcast_if_small
+from obsflow.session import broadcast_if_small, checkpointed
 
 # Fixed settings of the replaced models: orders, boosting parameters, early stopping.
 AR_ORDER = 5
@@ -28,6 +28,8 @@ LONG_AR = 14
 BOOSTED = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 2}
 EARLY = {"maxIter": 500, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 PATIENCE = 50
+#: Status of the steps of a key that has too few days for its model.
+SHORT = "too short"
 
 STEPS_SCHEMA = "key string, step int, y_hat double, status string"
 
@@ -102,24 +104,37 @@ def step_rows(keys: pd.Series, paths: np.ndarray, status: Sequence[str]) -> pd.D
 def arima_forecast(series: DataFrame, steps: int, *, p: int = AR_ORDER) -> DataFrame:
     """``(key, step, y_hat, status)`` of an autoregression of order ``p`` on first differences.
 
-    Conditional least squares without a constant, in place of exact likelihood.
+    Conditional least squares without a constant, in place of exact likelihood. A key that is too short for it repeats its last known value, with the
+    status ``too short``; a key without a known value has steps without one.
     """
 
     def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if b.empty:
                 continue
+            short = b["n"].to_numpy() <= p
             phi = solve(stacked(b["xx"]), stacked(b["xy"]))
-            level, w = stacked(b["y_last"])[:, 0], stacked(b["w_last"])
+            phi[short] = 0.0
+            level = np.array([v[0] if len(v) else np.nan for v in b["y_last"]], float)
+            w = np.array([np.pad(np.asarray(v, float), (0, p - len(v))) for v in b["w_last"]]).reshape(len(b), p)
+            w = np.nan_to_num(w)
             path = np.zeros((len(b), steps))
             for i in range(steps):
                 new = np.einsum("np,np->n", phi, w)
                 level = level + new
                 w = np.column_stack([new, w[:, :-1]])
                 path[:, i] = level
-            yield step_rows(b["key"], path, ["ok"] * len(b))
+            yield step_rows(b["key"], path, np.where(short, SHORT, "ok"))
 
-    return ar_gram(series, p).where(F.col("n") > p).mapInPandas(roll, STEPS_SCHEMA)
+    return _with_all_keys(series, ar_gram(series, p).mapInPandas(roll, STEPS_SCHEMA), steps)
+
+
+def _with_all_keys(series: DataFrame, found: DataFrame, steps: int) -> DataFrame:
+    """Adds the keys that ``found`` has no steps for: their last known value, and null if there is none."""
+    last = series.groupBy("key").agg(F.max_by("y", F.when(F.col("y").isNotNull(), F.col("ds"))).alias("y_hat"))
+    missing = last.join(found.select("key").distinct(), "key", "left_anti")
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
+    return found.unionByName(missing.select("key", ahead, "y_hat", F.lit(SHORT).alias("status")))
 
 
 def sarima_forecast(series: DataFrame, steps: int, *, season: int = SEASON, long_ar: int = LONG_AR) -> DataFrame:
@@ -128,7 +143,7 @@ def sarima_forecast(series: DataFrame, steps: int, *, season: int = SEASON, long
     The series is differenced at 1 and ``season``; a long autoregression gives the residuals, and the
     final regression uses lags 1, ``season`` and ``season + 1`` of series and residuals (two-stage
     least squares after Hannan and Rissanen 1982; the multiplicative terms become additive lags). A
-    key whose fit is not stable falls back to the long autoregression and says so in ``status``.
+    key whose fit is not stable falls back to the long autoregression and says so in ``status``; a key that is too short repeats its last known value.
     """
     lags = (1, season, season + 1)
     deep = max(long_ar, season + 1)
@@ -158,38 +173,44 @@ def sarima_forecast(series: DataFrame, steps: int, *, season: int = SEASON, long
             if b.empty:
                 continue
             beta = solve(stacked(b["xx"]), stacked(b["xy"]))
-            paths, status = [], []
-            for coef, row in zip(beta, b.itertuples()):
-                stable = is_stable(coef[: len(lags)], lags) and is_stable(-coef[len(lags) :], lags)
-                paths.append(roll_out(coef if stable else None, row, lags, season, steps))
-                status.append("ok" if stable else "fallback")
-            yield step_rows(b["key"], np.array(paths), status)
+            stable = are_stable(beta[:, : len(lags)], lags) & are_stable(-beta[:, len(lags) :], lags)
+            paths = roll_out(beta, stable, stacked(b["phi"]), *(np.nan_to_num(padded(b[c], n)) for c, n in (("y_last", season + 1), ("w_last", deep), ("e_last", season + 1))), lags, season, steps)
+            yield step_rows(b["key"], paths, np.where(stable, "ok", "fallback"))
+
+    return _with_all_keys(series, second.mapInPandas(roll, STEPS_SCHEMA), steps)
+
 
-    return second.mapInPandas(roll, STEPS_SCHEMA)
+def padded(column: pd.Series, n: int) -> np.ndarray:
+    """Lists as rows of a matrix, filled up with zeros."""
+    return np.array([np.pad(np.asarray([0.0 if x is None else x for x in v], float), (0, n - len(v))) for v in column]).reshape(len(column), n)
+
+
+def are_stable(coefs: np.ndarray, lags: Sequence[int]) -> np.ndarray:
+    """Per row whether all roots of the lag polynomial lie outside the unit circle: whether its companion matrix has no larger eigenvalue than one."""
+    n = max(lags)
+    companion = np.zeros((len(coefs), n, n))
+    companion[:, np.arange(1, n), np.arange(n - 1)] = 1.0
+    companion[:, 0, np.array(lags) - 1] = np.nan_to_num(coefs)
+    return np.abs(np.linalg.eigvals(companion)).max(axis=1) < 1.0 if len(coefs) else np.zeros(0, bool)
 
 
 def is_stable(coefs: Sequence[float], lags: Sequence[int]) -> bool:
-    """Whether all roots of the lag polynomial lie outside the unit circle."""
-    poly = np.zeros(max(lags) + 1)
-    poly[0] = 1.0
-    for c, k in zip(coefs, lags):
-        poly[k] -= c
-    return bool(np.all(np.abs(np.roots(poly)) < 1.0))
-
-
-def roll_out(coef: np.ndarray | None, row, lags: Sequence[int], season: int, steps: int) -> list[float]:
-    """Recursive forecast of one key; ``coef`` None means the long autoregression."""
-    y, w, e = (list(np.nan_to_num(np.array(v, dtype=float))) for v in (row.y_last, row.w_last, row.e_last))
-    out = []
-    for _ in range(steps):
-        if coef is None:
-            new = float(np.dot(row.phi, w[: len(row.phi)]))
-        else:
-            terms = [w[k - 1] for k in lags] + [e[k - 1] for k in lags]
-            new = float(np.dot(coef, terms))
-        level = new + y[0] + y[season - 1] - y[season]
-        y, w, e = [level, *y], [new, *w], [0.0, *e]
-        out.append(level)
+    return bool(are_stable(np.array([coefs], float), lags)[0])
+
+
+def roll_out(beta: np.ndarray, stable: np.ndarray, phi: np.ndarray, y: np.ndarray, w: np.ndarray, e: np.ndarray, lags: Sequence[int],
+             season: int, steps: int) -> np.ndarray:
+    """Recursive forecasts of a batch of keys (rows; newest values first); keys that are not stable go by the long autoregression ``phi``."""
+    at = np.array(lags) - 1
+    out = np.zeros((len(beta), steps))
+    for i in range(steps):
+        short = np.einsum("nk,nk->n", beta, np.column_stack([w[:, at], e[:, at]]))
+        long = np.einsum("nk,nk->n", phi, w[:, : phi.shape[1]])
+        new = np.where(stable, short, long)
+        level = new + y[:, 0] + y[:, season - 1] - y[:, season]
+        y, w = np.column_stack([level, y[:, :-1]]), np.column_stack([new, w[:, :-1]])
+        e = np.column_stack([np.zeros(len(e)), e[:, :-1]])
+        out[:, i] = level
     return out
 
 
@@ -222,45 +243,92 @@ def future_frame(series: DataFrame, periods: int = 30, *, history: bool = True)
     return series.select("key", "ds", F.lit(False).alias("is_future")).unionByName(ahead)
 
 
+def partial_grams(rows: DataFrame, design: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``(key, n, xx, xy, yy)``: cross products of the design of a key's rows, one row per key and batch.
+
+    ``design`` turns rows of one key into a matrix and a target; rows of a key may be in any number of batches, and the sums of the
+    matrices over them are those of all rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for key, part in b.groupby("key", sort=False, dropna=False):
+                x, y = design(part)
+                if len(x):
+                    found.append((key, len(x), (x.T @ x).ravel(), x.T @ y, float(y @ y)))
+            if found:
+                yield pd.DataFrame(found, columns=["key", "n", "xx", "xy", "yy"])
+
+    return rows.mapInPandas(run, "key string, n long, xx array<double>, xy array<double>, yy double")
+
+
+def summed_grams(parts: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """The cross products of all rows of a key from those of its parts."""
+    xy = np.sum(np.stack(parts["xy"].to_numpy()), axis=0)
+    xx = np.sum(np.stack(parts["xx"].to_numpy()), axis=0).reshape(len(xy), len(xy))
+    return int(parts["n"].sum()), xx, xy, float(parts["yy"].sum())
+
+
 def trend_fourier(
     series: DataFrame, frame: DataFrame, *, changepoints: int = 25, changepoint_range: float = 0.8,
     yearly: int = 10, weekly: int = 3, ridge: float = 20.0,
 ) -> DataFrame:
     """``(key, ds, y_hat)`` of a piecewise linear trend with yearly and weekly terms.
 
-    Fits ``series`` and predicts the days of ``frame``; one ridge solve per key, on at most one row
-    per calendar day. ``ridge`` holds the changes of slope down.
+    Fits ``series`` and predicts the days of ``frame``. The rows of a key become cross products where they are, only these matrices are
+    put together and solved per key, and days are predicted row by row. ``ridge`` holds the changes of slope down. A key with fewer than two known
+    days has rows without a prediction.
     """
-    left = known_rows(series).withColumn("fit", F.lit(True))
-    right = frame.select("key", "ds", F.lit(None).cast("double").alias("y"), F.lit(False).alias("fit"))
-
-    def predict(rows: pd.DataFrame) -> pd.DataFrame:
-        known, wanted = rows[rows["fit"]], rows[~rows["fit"]]
-        out = wanted[["key", "ds"]].copy()
-        if len(known) < 2 or wanted.empty:
-            return out.assign(y_hat=np.nan)
-        day = pd.to_datetime(known["ds"]).map(pd.Timestamp.toordinal).to_numpy(float)
-        ahead = pd.to_datetime(wanted["ds"]).map(pd.Timestamp.toordinal).to_numpy(float)
-        start, span = day.min(), max(day.max() - day.min(), 1.0)
-        y = known["y"].to_numpy(float)
-        scale = max(np.abs(y).max(), 1e-9)
-        knots = np.linspace(0, changepoint_range, changepoints + 1)[1:]
-
-        def design(d: np.ndarray) -> np.ndarray:
-            t = (d - start) / span
-            cols = [np.ones_like(t), t] + [np.maximum(t - k, 0.0) for k in knots]
-            for period, order in ((365.25, yearly), (7.0, weekly)):
-                for i in range(1, order + 1):
-                    cols += [np.sin(2 * np.pi * i * d / period), np.cos(2 * np.pi * i * d / period)]
-            return np.column_stack(cols)
-
-        x = design(day)
-        penalty = np.full(x.shape[1], 0.01)
-        penalty[:2], penalty[2 : 2 + len(knots)] = 0.0, ridge
-        beta = np.linalg.lstsq(x.T @ x + np.diag(penalty), x.T @ (y / scale), rcond=None)[0]
-        return out.assign(y_hat=design(ahead) @ beta * scale)
-
-    return left.unionByName(right).groupBy("key").applyInPandas(predict, "key string, ds date, y_hat double")
+    knots = np.linspace(0, changepoint_range, changepoints + 1)[1:]
+    size = 2 + changepoints + 2 * (yearly + weekly)
+
+    def design(rows: pd.DataFrame) -> np.ndarray:
+        d = rows["day"].to_numpy(float)
+        t = (d - rows["start"].to_numpy(float)) / rows["span"].to_numpy(float)
+        cols = [np.ones_like(t), t] + [np.maximum(t - k, 0.0) for k in knots]
+        for period, order in ((365.25, yearly), (7.0, weekly)):
+            for i in range(1, order + 1):
+                cols += [np.sin(2 * np.pi * i * d / period), np.cos(2 * np.pi * i * d / period)]
+        return np.column_stack(cols)
+
+    def number_of(day: Column | str) -> Column:  # days since the first of January of the year 1, from 1
+        return F.datediff(day, F.lit("1970-01-01").cast("date")) + 719163
+
+    first, last = F.min(number_of("ds")), F.max(number_of("ds"))
+    known = known_rows(series)
+    about = known.groupBy("key").agg(
+        first.alias("start"), F.greatest(last - first, F.lit(1)).alias("span"),
+        F.greatest(F.max(F.abs("y")), F.lit(1e-9)).alias("scale"), F.count("*").alias("known"),
+    )
+    about = broadcast_if_small(about.where("known >= 2").drop("known"))
+    parts = partial_grams(
+        known.join(about, "key").select("key", number_of("ds").alias("day"), "start", "span", (F.col("y") / F.col("scale")).alias("y")),
+        lambda rows: (design(rows), rows["y"].to_numpy(float)),
+    )
+    penalty = np.full(size, 0.01)
+    penalty[:2], penalty[2 : 2 + changepoints] = 0.0, ridge
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        _, xx, xy, _ = summed_grams(rows)
+        beta = np.linalg.lstsq(xx + np.diag(penalty), xy, rcond=None)[0]
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "beta": [beta]})
+
+    betas = parts.groupBy("key").applyInPandas(fit, "key string, beta array<double>")
+    wanted = frame.select("key", "ds", number_of("ds").alias("day")).join(broadcast_if_small(about.join(betas, "key")), "key", "left")
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[["key", "ds"]].assign(y_hat=np.nan)
+            fitted = b["beta"].notna().to_numpy()
+            if fitted.any():
+                some = b[fitted]
+                y = np.einsum("nd,nd->n", design(some), np.stack(some["beta"].to_numpy())) * some["scale"].to_numpy(float)
+                out.loc[fitted, "y_hat"] = y
+            yield out
+
+    found = wanted.mapInPandas(predict, "key string, ds date, y_hat double")
+    return found.withColumn("y_hat", F.nanvl("y_hat", F.lit(None).cast("double")))
 
 
 # Fixed values, published by MacKinnon (1994, 2010) for a test with a constant: response surfaces of
@@ -275,43 +343,74 @@ ADF_CRITICAL = {
 def adf_test(series: DataFrame, *, max_lag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller statistic per key with a constant, lag order by AIC.
 
-    ``(key, n_obs, lags_used, adf, crit_1pct, crit_5pct, crit_10pct, stationary)``; the verdict
-    compares with the 5 % value. One small regression search per key, on at most one row per day.
+    ``(key, n_obs, lags_used, adf, crit_1pct, crit_5pct, crit_10pct, stationary)``; the verdict compares with the 5 % value. The differences, their lags and the
+    level before become cross products where the rows are; all orders are compared on sub-matrices of their sum, and the chosen one is refitted with the few
+    first rows that longer lags leave out. A key that is too short has a row without a statistic.
     """
+    rows = known_rows(series)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.avg("y").alias("mean"))
+    rule = F.ceil(12.0 * F.pow(F.col("size") / 100.0, F.lit(0.25))).cast("int") if max_lag is None else F.lit(max_lag)
+    sizes = checkpointed(sizes.withColumn("most", F.greatest(F.lit(0), F.least(rule, F.floor(F.col("size") / 2).cast("int") - 3))))
+    widest = sizes.agg(F.max("most")).first()[0] or 0
+    step = F.col("y") - F.lag("y").over(per_key())
+    stepped = rows.withColumns({"d": step, "level": F.lag("y").over(per_key()), "i": F.row_number().over(per_key()) - 2})
+    lags = [F.lag("d", k).over(per_key()) for k in range(1, widest + 1)]
+    lagged = stepped.select("key", "i", "d", "level", F.array(*lags).cast("array<double>").alias("lags")).where("i >= 0")
+    # The constant takes up a shift of the level, and near zero the products are well conditioned.
+    lagged = lagged.join(broadcast_if_small(sizes), "key").withColumn("level", F.col("level") - F.col("mean"))
+
+    def matrix(part: pd.DataFrame, lags_used: int) -> np.ndarray:
+        past = np.array([np.asarray(v, float) for v in part["lags"]]).reshape(len(part), -1)[:, :lags_used]
+        return np.column_stack([part["level"].to_numpy(float), past, np.ones(len(part))])
+
+    def design(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        most = int(part["most"].iloc[0])
+        full = part[part["i"] >= most]
+        return matrix(full, most), full["d"].to_numpy(float)
+
+    parts = partial_grams(lagged, design)
+    head = F.array_sort(F.collect_list(F.when(F.col("i") < F.col("most"), F.struct("i", "d", "level", "lags"))))
+    heads = lagged.groupBy("key").agg(head.alias("head"))  # at most as many rows as lags
+
+    def fit(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        most, first = int(right["most"].iloc[0]), right["head"].iloc[0]
+        n, xx, xy, yy = summed_grams(left) if len(left) else (0, np.zeros((most + 2, most + 2)), np.zeros(most + 2), 0.0)
+
+        def chosen(lags_used: int) -> list[int]:
+            return [*range(lags_used + 1), most + 1]
 
-    def regress(y: np.ndarray, lags: int, drop: int) -> tuple[np.ndarray, np.ndarray]:
-        d = np.diff(y)
-        rows = np.arange(drop, len(d))
-        x = np.column_stack([y[rows], *[d[rows - k] for k in range(1, lags + 1)], np.ones(len(rows))])
-        return x, d[rows]
+        def residual(xx: np.ndarray, xy: np.ndarray, yy: float) -> tuple[np.ndarray, np.ndarray, float]:
+            inverse = np.linalg.pinv(xx, hermitian=True)
+            beta = inverse @ xy
+            return beta, inverse, max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
 
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("ds")["y"].to_numpy(float)
-        most = max_lag if max_lag is not None else int(np.ceil(12.0 * (len(y) / 100.0) ** 0.25))
-        most = max(0, min(most, len(y) // 2 - 3))
         best = (np.inf, 0)
-        for lags in range(most + 1):
-            x, d = regress(y, lags, most)
-            rss = np.sum((d - x @ np.linalg.lstsq(x, d, rcond=None)[0]) ** 2)
-            n = len(d)
+        for lags_used in range(most + 1) if n else ():
+            at = chosen(lags_used)
+            rss = residual(xx[np.ix_(at, at)], xy[at], yy)[2]
             log_likelihood = -n / 2 * (np.log(2 * np.pi * max(rss, 1e-300) / n) + 1)
-            best = min(best, (2 * x.shape[1] - 2 * log_likelihood, lags))
-        lags = best[1]
-        x, d = regress(y, lags, lags)
-        inverse = np.linalg.pinv(x.T @ x)
-        beta = inverse @ x.T @ d
-        n = len(d)
-        variance = np.sum((d - x @ beta) ** 2) / max(n - x.shape[1], 1)
-        stat = beta[0] / np.sqrt(variance * inverse[0, 0])
+            best = min(best, (2 * len(at) - 2 * log_likelihood, lags_used))
+        lags_used = best[1]
+        at = chosen(lags_used)
+        xx, xy = xx[np.ix_(at, at)], xy[at]
+        more = [r for r in first if r is not None and r["i"] >= lags_used] if first is not None else []
+        for r in more:
+            x = np.array([r["level"], *r["lags"][:lags_used], 1.0], float)
+            xx, xy, yy, n = xx + np.outer(x, x), xy + x * r["d"], yy + r["d"] ** 2, n + 1
+        row = {"key": right["key"].iloc[0], "n_obs": n, "lags_used": lags_used}
+        if n <= len(at):
+            return pd.DataFrame([{**row, "adf": None, **dict.fromkeys(ADF_CRITICAL), "stationary": None}])
+        beta, inverse, rss = residual(xx, xy, yy)
+        stat = beta[0] / np.sqrt(max(rss / (n - len(at)) * inverse[0, 0], 1e-300))
         crit = {name: sum(b / n**i for i, b in enumerate(bs)) for name, bs in ADF_CRITICAL.items()}
-        row = {"key": rows["key"].iloc[0], "n_obs": n, "lags_used": lags, "adf": stat, **crit}
-        return pd.DataFrame([{**row, "stationary": bool(stat < crit["crit_5pct"])}])
+        return pd.DataFrame([{**row, "adf": stat, **crit, "stationary": bool(stat < crit["crit_5pct"])}])
 
     schema = (
         "key string, n_obs int, lags_used int, adf double, crit_1pct double, crit_5pct double,"
         " crit_10pct double, stationary boolean"
     )
-    return known_rows(series).groupBy("key").applyInPandas(test, schema)
+    about = sizes.join(heads, "key", "left").select("key", "most", "head")
+    return parts.groupBy("key").cogroup(about.groupBy("key")).applyInPandas(fit, schema)
 
 
 def partial_autocorrelation(acf: DataFrame) -> DataFrame:

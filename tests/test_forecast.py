@@ -78,6 +78,87 @@ def test_adf_tells_noise_from_a_walk(series):
     assert got["noise"]["crit_5pct"] == pytest.approx(-2.87, abs=0.01)
 
 
+def plain_adf(y, max_lag=None):
+    """The same test by least squares on whole matrices."""
+
+    def regress(lags, drop):
+        d = np.diff(y)
+        rows = np.arange(drop, len(d))
+        return np.column_stack([y[rows], *[d[rows - k] for k in range(1, lags + 1)], np.ones(len(rows))]), d[rows]
+
+    most = max_lag if max_lag is not None else int(np.ceil(12.0 * (len(y) / 100.0) ** 0.25))
+    most = max(0, min(most, len(y) // 2 - 3))
+    best = (np.inf, 0)
+    for lags in range(most + 1):
+        x, d = regress(lags, most)
+        rss, n = np.sum((d - x @ np.linalg.lstsq(x, d, rcond=None)[0]) ** 2), len(d)
+        best = min(best, (2 * x.shape[1] + n * (np.log(2 * np.pi * rss / n) + 1), lags))
+    x, d = regress(best[1], best[1])
+    beta = np.linalg.lstsq(x, d, rcond=None)[0]
+    variance = np.sum((d - x @ beta) ** 2) / (len(d) - x.shape[1])
+    return len(d), best[1], beta[0] / np.sqrt(variance * np.linalg.inv(x.T @ x)[0, 0])
+
+
+def test_adf_over_a_panel_equals_least_squares(series):
+    rng = np.random.default_rng(6)
+    panel = {f"k{n}": 1000 + np.cumsum(rng.normal(size=n)) + 3 * rng.normal(size=n) for n in (12, 40, 90, 250)}
+    df = None
+    for key, y in panel.items():
+        df = series(y, key) if df is None else df.unionByName(series(y, key))
+    for most in (None, 3):
+        got = {r["key"]: r for r in forecast.adf_test(df.repartition(5), max_lag=most).collect()}
+        for key, y in panel.items():
+            n, lags, stat = plain_adf(y, most)
+            assert (got[key]["n_obs"], got[key]["lags_used"]) == (n, lags)
+            assert got[key]["adf"] == pytest.approx(stat, rel=1e-6)
+
+
+def test_short_and_unknown_keys_keep_a_row(series):
+    df = series([1.0, 2.0], "two").unionByName(series([None, None], "none")).unionByName(series(wave(60), "long"))
+    adf = {r["key"]: r for r in forecast.adf_test(df).collect()}
+    assert adf["two"]["adf"] is None and adf["long"]["adf"] is not None
+    for model in (forecast.arima_forecast, forecast.sarima_forecast):
+        got = {}
+        for r in model(df, 3).orderBy("key", "step").collect():
+            got.setdefault(r["key"], []).append((r["y_hat"], r["status"]))
+        assert [s for _, s in got["two"]] == ["too short"] * 3 and [y for y, _ in got["two"]] == [2.0] * 3
+        assert got["none"] == [(None, "too short")] * 3
+        assert {s for _, s in got["long"]} <= {"ok", "fallback"} and len(got["long"]) == 3
+    frame = forecast.future_frame(df, 2)
+    trend = {r["key"]: r["n"] for r in forecast.trend_fourier(df, frame).where("y_hat is null").groupBy("key").count().withColumnRenamed("count", "n").collect()}
+    assert trend == {"none": 4}
+
+
+def test_batches_roll_out_like_single_keys():
+    rng = np.random.default_rng(8)
+    lags, season, steps = (1, 7, 8), 7, 12
+    beta, phi = rng.normal(0, 0.3, (6, 6)), rng.normal(0, 0.1, (6, 14))
+    y, w, e = rng.normal(size=(6, 8)), rng.normal(size=(6, 14)), rng.normal(size=(6, 8))
+    stable = np.array([True, False] * 3)
+    got = forecast.roll_out(beta, stable, phi, y, w, e, lags, season, steps)
+    for n in range(6):
+        a, b, c = list(y[n]), list(w[n]), list(e[n])
+        for i in range(steps):
+            terms = [b[k - 1] for k in lags] + [c[k - 1] for k in lags]
+            new = float(np.dot(beta[n], terms)) if stable[n] else float(np.dot(phi[n], b[:14]))
+            level = new + a[0] + a[season - 1] - a[season]
+            a, b, c = [level, *a], [new, *b], [0.0, *c]
+            assert got[n, i] == pytest.approx(level)
+    for coefs in rng.normal(0, 0.6, (50, 3)):
+        poly = np.zeros(9)
+        poly[0] = 1.0
+        for c, k in zip(coefs, lags, strict=True):
+            poly[k] -= c
+        assert forecast.is_stable(coefs, lags) == bool(np.all(np.abs(np.roots(poly)) < 1.0))
+
+
+def test_weights_of_absent_models_go_to_the_others(spark):
+    predictions = spark.createDataFrame([("k", 1, "a", 10.0), ("k", 1, "b", 20.0), ("k", 2, "a", 10.0), ("k", 3, "a", None), ("k", 3, "b", 8.0)], "key string, ds int, model_id string, y_hat double")
+    weights = spark.createDataFrame([("k", "a", 0.75), ("k", "b", 0.25)], "key string, model_id string, weight double")
+    got = {r["ds"]: r["y_hat"] for r in evaluate.weighted_ensemble(predictions, weights).collect()}
+    assert got == {1: 12.5, 2: 10.0, 3: 8.0}
+
+
 def test_pacf_against_regression(series):
     from obsflow.operators.series import autocorrelation
 
