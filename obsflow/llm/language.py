@@ -139,8 +139,9 @@ def train(texts: list[str], languages: list[str], keys: list[int], epochs: int =
 def fit_language(docs: DataFrame, held_out, per_language: int = 1000) -> dict:
     """Train on at most about ``per_language`` texts of every language, outside ``held_out`` (a boolean column).
 
-    Rows without language, text or letter teach nothing. The sample is bounded by its parameter; it is picked by the hash of
-    ``doc_id`` and trained in one task, of which the model alone returns.
+    Rows without language, text or letter teach nothing; without any other row every text is ``und``. The sample is bounded by its parameter; it is picked by
+    the hash of ``doc_id`` and ``text``, so rows without an id are drawn one by one and repeated rows together, and trained in one task, of which the model alone
+    returns. More than ``MAX_LANGUAGES`` languages are an error.
     """
     known = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held")).where(
         "not held and lang is not null and text is not null"
@@ -148,22 +149,23 @@ def fit_language(docs: DataFrame, held_out, per_language: int = 1000) -> dict:
     sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    nothing = {"table": np.zeros((BUCKETS, 1), np.float32), "bias": np.zeros(1, np.float32), "languages": ["und"], "temperature": 1.0, "threshold": 0.0}
     if not sizes:
-        return {"table": np.zeros((BUCKETS, 1), np.float32), "bias": np.zeros(1, np.float32), "languages": ["und"], "temperature": 1.0, "threshold": 0.0}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+        return nothing
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     sample = known.where(draw < share[F.col("lang")]).select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        rows = pd.concat([pd.DataFrame(columns=["text", "lang", "key"]), *batches], ignore_index=True)  # no batch at all if nothing is drawn
         if len(rows):
             m = train(list(rows["text"]), list(rows["lang"]), list(rows["key"]))
             yield pd.DataFrame({"table": [m["table"].tobytes()], "bias": [m["bias"].tobytes()], "languages": [m["languages"]],
                                 "temperature": [m["temperature"]], "threshold": [m["threshold"]]})
 
     row = sample.repartition(1).mapInPandas(run, "table binary, bias binary, languages array<string>, temperature double, threshold double").first()
-    if row is None:
-        raise ValueError("no labelled text was sampled")
+    if row is None:  # nothing was drawn
+        return nothing
     classes = len(row["languages"])
     return {"table": np.frombuffer(row["table"], np.float32).reshape(BUCKETS, classes), "bias": np.frombuffer(row["bias"], np.float32),
             "languages": list(row["languages"]), "temperature": row["temperature"], "threshold": row["threshold"]}

@@ -57,7 +57,7 @@ def train(texts: list[str], label: np.ndarray, share: np.ndarray, steps: int = S
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> dict:
     """Train on at most about ``per_domain`` labelled texts of every domain.
 
-    ``labelled`` has ``doc_id, domain``; of a repeated id the smallest domain counts, other domains and null texts are left out. Without any
+    More than ``MAX_DOMAINS`` domains are an error. ``labelled`` has ``doc_id, domain``; of a repeated id the smallest domain counts, other domains and null texts are left out. Without any
     usable row all posteriors are equal.
     """
     if not 0 < len(domains) <= MAX_DOMAINS:
@@ -76,7 +76,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], per_do
     share = np.array([count.get(d, 0) / total for d in domains])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        rows = pd.concat([pd.DataFrame(columns=["text", "domain", "key"]), *batches], ignore_index=True)  # no batch at all if nothing is drawn
         if len(rows):
             rows = rows.sort_values("key", kind="stable")  # the same model for any order of rows
             weights, bias = train(list(rows["text"]), np.array([domains.index(d) for d in rows["domain"]]), share)

@@ -68,6 +68,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, positives
 
     Unlabelled are the texts without a row in ``labels``, or all texts where each has one. The prior is the toxic share of the labelled
     training rows. Both samples are picked by the hash of ``doc_id``, trained in one task, and only the weights that are not zero return.
+    Without confirmed or usable texts all scores are alike, and low; repeated rows are drawn together, and a table without rows gives none.
     With fewer than about 75 confirmed texts the ranking holds, but hardly any text reaches a score of a half.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -79,7 +80,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, positives
         return {"weights": np.zeros(SIZE, np.float32), "bias": -1.0, "prior": 0.0}
     prior = min(max(counts["p"] / counts["n"], 1e-3), 0.9)
     total = docs.where(~held).select(F.count(F.lit(1))).first()[0]
-    free = max(total - counts["n"], 0) or total
+    free = max(total - counts["n"], 0) or max(total, 1)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) / float(1 << 30)
     wanted = labelled.where(F.col("toxic") == 1).where(draw < min(1.0, positives / counts["p"])).select("doc_id", F.lit(1).alias("positive"))
     some = usable.where(draw < min(1.0, max(positives / counts["p"], unlabelled / free)))
@@ -89,7 +90,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, positives
     sample = joined.select("text", role.alias("role"), F.xxhash64("doc_id", "text").alias("key")).where("role is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        rows = pd.concat([pd.DataFrame(columns=["text", "role", "key"]), *batches], ignore_index=True)  # no batch at all if nothing is drawn
         if len(rows):
             rows = rows.sort_values("key", kind="stable")  # the same model for any order of rows
             weights, bias = train(list(rows["text"][rows["role"] == 1]), list(rows["text"][rows["role"] == 0]), prior)

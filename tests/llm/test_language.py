@@ -54,3 +54,17 @@ def test_odd_rows(odd, clashing, none, llm, rng):
     assert language.identify(none, model).count() == 0
     assert language.fit_language(none, F.lit(False))["languages"] == ["und"]
     assert language.fit_language(odd, F.lit(False))["languages"] == ["en", "fr"]
+
+
+def test_rows_without_an_id_are_drawn(llm, rng):
+    rows = [(None, sentence(rng, 12, ["der", "und", "nicht", "haus"]) if i % 2 else sentence(rng, 12, ["the", "and", "house", "not"]), "de" if i % 2 else "en") for i in range(1200)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(False), per_language=200)
+    got = language.identify(docs, model).where("lang_pred = lang").count()
+    assert got > 1150
+
+
+def test_nothing_drawn_gives_a_model(llm, monkeypatch):
+    docs = llm.createDataFrame([(1, "der hund", "de")] * 50, "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(False), per_language=0)
+    assert {r["lang_pred"] for r in language.identify(docs, model).collect()} == {"und"}

@@ -81,3 +81,10 @@ def test_odd_rows(odd, none, clashing, llm, rng):
     assert mixing.mixed(docs.where(F.col("doc_id") < 30), again, targets).count() == 30
     with pytest.raises(ValueError):
         mixing.mixed(docs, labels, {"a": 0.0, "b": 0.0})
+
+
+def test_labels_of_no_document_give_even_shares(llm):
+    docs = llm.createDataFrame([(1, "one text"), (2, "another")], "doc_id long, text string")
+    labelled = llm.createDataFrame([(77, "good"), (78, "low")], "doc_id long, domain string")
+    model = mixing.fit_domains(docs, labelled, ["good", "low"])
+    assert not model["weights"].any()

@@ -55,3 +55,9 @@ def test_odd_rows(odd, none, clashing, llm, rng):
     repeated = labels.union(labels).union(llm.createDataFrame([(None, 1), (0, None)], LABELS))
     again = toxicity.fit_toxicity(docs, repeated, F.lit(False))
     assert (again["weights"] != 0).any()
+
+
+def test_labels_without_documents(llm, none):
+    labels = llm.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(none, labels, F.lit(False))
+    assert toxicity.score_toxicity(none, model, ["doc_id"]).collect() == []
