@@ -48,4 +48,4 @@ def test_query_equals_sql(spark, folder, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_query_without_sql_has_rows(spark, folder, name):
-    assert QUERIES[name](spark, folder).count() > 0
+    assert len(QUERIES[name](spark, folder).collect()) > 0  # every column is worked out
