@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,8 +28,8 @@ END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, tokens array<int>"
 
-#: A task forgets the segments it knows when they and their ids have so many bytes.
-KNOWN_BYTES = 64 << 20
+#: A worker forgets the segments it knows when they and their ids have so many bytes.
+KNOWN_BYTES = 96 << 20
 #: So many segments, and single texts among them, go through the tokenizer at a time.
 NEW_SEGMENTS, ROWS = 20_000, 256
 NEWLINE = 10
@@ -62,7 +63,7 @@ def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts by their segments; every distinct segment goes through the tokenizer once per task."""
+    """Encodes texts by their segments; every distinct segment goes through the tokenizer once, until it is forgotten."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,6 +126,12 @@ class Encoder:
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
+@lru_cache(1)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that a task knows the segments of the tasks before it."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same texts with ``end_id`` behind each."""
     bounds = np.concatenate([[0], np.cumsum(counts + 1)])
@@ -145,7 +152,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     ordered = sliced.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, before = shared_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids, text = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in pieces(text):
