@@ -79,27 +79,27 @@ def feature_names(
     return [f"lag_{k}" for k in lags] + rolling + [*calendar_fields("ds"), *cyclical_fields("ds")]
 
 
-def split_tail(series: DataFrame, *, test: int, val: int = 0) -> DataFrame:
+def split_tail(series: DataFrame, *, test: int, val: int = 0, short: str = "error") -> DataFrame:
     """Positional holdout: the last ``test`` rows of a key, before them ``val`` rows, the rest is train.
 
-    Sizes must leave at least one training row in every key; a key that is too short is an error when
-    the plan runs.
+    Sizes must leave at least one training row in every key. A key that is too short is an error when the plan runs; with ``short="train"`` all its
+    rows are training rows instead, so that one such key among many doesn't stop the others.
     """
     if test < 0 or val < 0 or test + val < 1:
         raise ValueError(f"holdout sizes must be positive, got test={test} and val={val}")
+    if short not in ("error", "train"):
+        raise ValueError(f"short must be 'error' or 'train', got {short!r}")
     back = F.row_number().over(W.partitionBy("key").orderBy(F.desc("ds")))
     size = F.count("*").over(W.partitionBy("key"))
-    guard = F.assert_true(
-        F.col("size") > test + val,
-        F.format_string(f"test + val ({test} + {val}) must be < series length (%s)", F.col("size")),
-    )
     label = F.when(F.col("back") <= test, "test").when(F.col("back") <= test + val, "val").otherwise("train")
-    return (
-        series.withColumns({"back": back, "size": size})
-        .where(guard.isNull())
-        .withColumn("split", label)
-        .drop("back", "size")
-    )
+    rows = series.withColumns({"back": back, "size": size})
+    enough = F.col("size") > test + val
+    if short == "error":
+        guard = F.assert_true(enough, F.format_string(f"test + val ({test} + {val}) must be < series length (%s)", F.col("size")))
+        rows = rows.where(guard.isNull())
+    else:
+        label = F.when(enough, label).otherwise("train")
+    return rows.withColumn("split", label).drop("back", "size")
 
 
 def split_cutoff(series: DataFrame, *, days: int = 30) -> DataFrame:

@@ -37,7 +37,7 @@ def micro_batch_detection(t: Tables):
         "event_id", F.col("value").alias("v"), F.col("user_id").cast("double").alias("u"), F.hour("ts").cast("double").alias("h")
     )
     jobs.detect_in_batches(
-        stream, ["v", "u", "h"], value="v", id_cols=["event_id"], folder=folder, n_trees=50
+        stream, ["v", "u", "h"], value="v", id_cols=["event_id"], folder=folder
     ).awaitTermination()
     return t.spark.read.parquet(f"{folder}/results").select("event_id", "z", "anomaly_zscore", "if_score", "anomaly_if")
 

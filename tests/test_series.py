@@ -214,3 +214,15 @@ def test_steps_of_a_full_day(spark, slices):
     assert {r["step_seconds"]: r["n"] for r in ops.step_counts(df, "t").collect()} == want
     assert largest(slices) < 2
     assert ops.step_counts(df.where("false"), "t").collect() == []
+
+
+def test_a_short_key_need_not_stop_the_others(series):
+    both = series(range(3), "short").unionByName(series(range(10), "long"))
+    got = {}
+    for r in ops.split_tail(both, test=2, val=2, short="train").collect():
+        got.setdefault((r["key"], r["split"]), []).append(r["y"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        ("short", "train"): [0, 1, 2], ("long", "train"): [0, 1, 2, 3, 4, 5], ("long", "val"): [6, 7], ("long", "test"): [8, 9],
+    }
+    with pytest.raises(ValueError, match="short"):
+        ops.split_tail(both, test=2, short="drop")
