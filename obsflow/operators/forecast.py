@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -479,9 +480,20 @@ def train_early_stopped(
         if settled or rounds >= most:
             break
         rounds = min(2 * rounds, most)
-    if kept < rounds:
-        model = GBTRegressor(seed=seed, maxIter=kept, **settings).fit(train)
-    return model, kept
+    return first_rounds(model, kept), kept
+
+
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model as it was after so many rounds: its first trees, as a new model of their own."""
+    if rounds >= model.getNumTrees:
+        return model
+    gateway = SparkContext._active_spark_context._gateway
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(ml.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(model._java_obj.trees(), model.treeWeights[:rounds])):
+        trees[i], weights[i] = tree, weight
+    return GBTRegressionModel(ml.GBTRegressionModel(model.uid, trees, weights))
 
 
 def model_predictions(model, rows: DataFrame, model_id: str) -> DataFrame:

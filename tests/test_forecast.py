@@ -217,3 +217,24 @@ def test_rolling_origins(series):
     tests = {o: sorted(r["y"] for r in rows if r["origin"] == o and r["split"] == "test") for o in (0, 1)}
     assert tests == {0: [15, 16, 17, 18, 19], 1: [10, 11, 12, 13, 14]}
     assert max(r["y"] for r in rows if r["origin"] == 1 and r["split"] == "train") == 9
+
+
+def test_the_first_rounds_of_a_model_equal_a_shorter_fit(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    from obsflow.operators import explain
+
+    rng = np.random.default_rng(3)
+    table = [(i, *map(float, x), float(x[0] - x[1] ** 2)) for i, x in enumerate(rng.normal(size=(150, 4)))]
+    names = ["a", "b", "c", "d"]
+    rows = explain.feature_rows(spark.createDataFrame(table, "id int, a double, b double, c double, d double, y double"), names, "y").cache()
+    settings = {"maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 0.8, "seed": 5}
+    cut = forecast.first_rounds(GBTRegressor(maxIter=9, **settings).fit(rows), 4)
+    short = GBTRegressor(maxIter=4, **settings).fit(rows)
+    a, b = ({r["id"]: r["prediction"] for r in m.transform(rows).collect()} for m in (cut, short))
+    assert cut.getNumTrees == 4 and a == pytest.approx(b)
+    got = explain.importances(rows, cut, names, "v").collect()
+    assert [r["feature"] for r in got] == names and sum(r["v"] for r in got) == pytest.approx(1)
+    shap, base = explain.tree_shap(rows.where("id < 3"), cut, names, id_cols=["id"])
+    total = {r["id"]: base + r["s"] for r in shap.groupBy("id").sum("shap").withColumnRenamed("sum(shap)", "s").collect()}
+    assert total == pytest.approx({i: a[i] for i in range(3)})
