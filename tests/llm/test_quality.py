@@ -55,3 +55,18 @@ def test_rules_are_ordered_by_rejection_per_cost(llm, rng):
 def test_empty_and_clashing(none, clashing):
     assert quality.judged(none).count() == 0 and quality.judged(none, []).count() == 0
     assert quality.judged(clashing).count() == clashing.count()
+
+
+def test_order_is_the_same_in_ten_runs(llm, rng):
+    docs = llm.createDataFrame([(i, sentence(rng, 60) + ("#" * 40 if i % 3 else "") + ("\nsame line" * (i % 50))) for i in range(300)], "doc_id long, text string")
+    sample = quality.measured(quality.sampled(docs))
+    orders = {tuple(r.name for r, _, _ in quality.order_rules(sample.repartition(1 + k % 4), quality.counted_rules())) for k in range(10)}
+    assert len(orders) == 1
+
+
+def test_counted_rules_judge_like_those_on_the_text(llm, odd, rng):
+    texts = [sentence(rng, rng.randint(1, 90)) + rng.choice(["", "#" * 30, "\nx" * 40, " i i i" * 60, "AB CD" * 40]) for _ in range(150)]
+    docs = odd.select("doc_id", "text").union(llm.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows = quality.measured(docs).select(*[F.coalesce(r.rejects, F.lit(False)).alias(f"{k}{r.name}") for k, rules in enumerate((quality.default_rules(), quality.counted_rules())) for r in rules]).collect()
+    assert all(r[f"0{x.name}"] == r[f"1{x.name}"] for r in rows for x in quality.default_rules())
+    assert all(any(r[f"0{x.name}"] for r in rows) for x in quality.default_rules())
