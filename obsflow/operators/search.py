@@ -18,6 +18,8 @@ from obsflow.session import broadcast_if_small
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 # At most this many query vectors travel to every worker; more are searched block by block.
 BROADCAST_QUERIES = 1024
+# So many blocks of either side meet in one group: every vector travels once per group of the other side.
+GROUP_BLOCKS = 32
 
 
 def unit_rows(vectors: np.ndarray, floor: float | None = None) -> np.ndarray:
@@ -46,7 +48,7 @@ def cosine_top_k(
 
     Both sides are ``(id, embedding)``. A counted small set of queries is sent to the workers, the
     documents are read once, and every task returns only its best ``k`` per query. More queries than
-    ``max_broadcast`` are cut, like the documents, into blocks that meet in bounded groups.
+    ``max_broadcast`` are cut, like the documents, into blocks that meet in bounded groups of many blocks.
     """
     few = queries.select("id", "embedding").limit(max_broadcast + 1).collect()
     if len(few) <= max_broadcast:
@@ -90,19 +92,52 @@ def _by_blocks(queries: DataFrame, docs: DataFrame, k: int, query_block: int, do
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other),
         )
 
-    nq, nd = blocks(queries, query_block), blocks(docs, doc_block)
+    nq, nd = blocks(queries, GROUP_BLOCKS * query_block), blocks(docs, GROUP_BLOCKS * doc_block)
     left = numbered(queries, "qb", nq, "db", nd).groupBy("qb", "db")
     right = numbered(docs, "db", nd, "qb", nq).groupBy("qb", "db")
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        scores = unit_rows(matrix(q["embedding"])) @ unit_rows(matrix(d["embedding"]), 1e-12).T
-        return best_hits(q["id"].to_numpy(), d["id"].to_numpy(), scores, k)
+        query_ids, query_rows = q["id"].to_numpy(), unit_rows(matrix(q["embedding"]))
+        doc_ids, doc_rows = d["id"].to_numpy(), unit_rows(matrix(d["embedding"]), 1e-12)
+        parts = []
+        for i in range(0, len(q), query_block):
+            rows = query_rows[i : i + query_block]
+            # Hits carry the row of their query, as ids may stand twice, and are thinned block by block.
+            best = (np.zeros(0, int), np.zeros(0, doc_ids.dtype), np.zeros(0))
+            for j in range(0, len(d), doc_block):
+                found = block_hits(doc_ids[j : j + doc_block], rows @ doc_rows[j : j + doc_block].T, k)
+                best = first_hits(*(np.concatenate(pair) for pair in zip(best, found, strict=True)), k)
+            parts.append(pd.DataFrame({"query_id": query_ids[i + best[0]], "doc_id": best[1], "score": best[2]}))
+        return pd.concat(parts)
 
     return left.cogroup(right).applyInPandas(search, HIT_SCHEMA)
 
 
+def block_hits(doc_ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, doc_id, score)`` of all scores that can be among the ``k`` best of their row.
+
+    Products of equal vectors can differ in the last digits by their place in the block; rounded ones are tied, and the smaller id wins.
+    """
+    scores = scores.round(12)
+    if scores.shape[1] > k:
+        least = np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]  # unknown scores sort last
+        row, col = np.nonzero(~(-scores > least))
+    else:
+        row, col = np.indices(scores.shape).reshape(2, -1)
+    return row, doc_ids[col], scores[row, col]
+
+
+def first_hits(row: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best hits of every row, smaller id first on ties."""
+    order = np.lexsort((doc, -score, row))
+    row, doc, score = row[order], doc[order], score[order]
+    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    return row[place < k], doc[place < k], score[place < k]
+
+
 def relative_scores(hits: DataFrame) -> DataFrame:
     """Adds ``relative``: scores of a query stretched to 0..1 over its hits, 1 if all are equal."""
     own = W.partitionBy("query_id")

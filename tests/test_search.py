@@ -81,3 +81,18 @@ def test_text_scores_equal_brute_force(spark):
     for h in hits:
         a, b = e[h["query_id"]], e[h["doc_id"]]
         assert h["score"] == pytest.approx(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), abs=1e-8)
+
+
+def test_blocks_with_many_ties_equal_brute_force_and_travel_in_groups(spark):
+    rng = np.random.default_rng(3)
+    table = np.repeat(rng.normal(size=(60, 8)), 5, axis=0).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(300), table, strict=True)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    got = search.cosine_top_k(docs, docs, 3, max_broadcast=16, block=32).collect()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    for q in unit:
+        best = sorted((-round(float(unit[q] @ unit[d]), 9), d) for d in unit)[:3]
+        assert sorted((r.place, r.doc_id) for r in got if r.query_id == q) == [(p + 1, d) for p, (_, d) in enumerate(best)]
+    # 300 vectors fit in one group of either side, so each travels once.
+    plan = search._by_blocks(docs, docs, 3, 16, 32)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sequence(cast(0 as bigint), cast(0 as bigint)") == 2
