@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsflow.functions.scalar import as_column, calendar_fields, cyclical_fields, day_of, number
-from obsflow.operators.slices import SLICE, in_slices, join_edges, per_slice, slices_after, slices_before
+from obsflow.operators.slices import SLICE, in_slices, join_edges, per_slice, side_by_side, slices_after, slices_before
 
 # Fixed default values of the feature set.
 DEFAULT_LAGS = (1, 2, 3, 7, 14, 21)
@@ -151,7 +151,7 @@ def _with_previous(rows: DataFrame, ts: str, by: Sequence[str] = (), tie: Sequen
     inner = F.lag(ts).over(per_slice(by, [ts, *tie]))
     edges = rows.groupBy(SLICE, *by).agg(F.max(ts).alias("_last"))
     carried = edges.select(SLICE, *by, F.max("_last").over(slices_before(by)).alias("_carried"))
-    joined = join_edges(rows.withColumn("previous", inner), carried, by)
+    joined = join_edges(side_by_side(rows).withColumn("previous", inner), carried, by)
     previous = F.when(_all_known([*by, ts]), F.coalesce("previous", "_carried"))
     return joined.withColumn("previous", previous).drop("_carried")
 
@@ -232,7 +232,7 @@ def nearest_join(probes: DataFrame, points: DataFrame, *, ts: str, point_ts: str
 
     ahead = per_slice(by, ["_at", "_probe"]).rowsBetween(W.unboundedPreceding, 0)
     back = per_slice(by, [F.desc("_at"), "_probe"]).rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumns({"before": F.last("point", True).over(ahead), "after": F.last("point", True).over(back)}).where("_probe")
+    found = side_by_side(rows).withColumns({"before": F.last("point", True).over(ahead), "after": F.last("point", True).over(back)}).where("_probe")
     edges = rows.groupBy(SLICE, *by).agg(F.min("point").alias("first_point"), F.max("point").alias("last_point"))
     carried = edges.select(
         SLICE, *by,

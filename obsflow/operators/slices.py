@@ -16,21 +16,34 @@ from pyspark.sql import functions as F
 from obsflow.session import checkpointed
 
 SLICE = "_slice"
+#: Rows of a slice, about, once a table has more of them than the shuffle partitions hold at this size.
+SLICE_ROWS = 250_000
 
 
 def in_slices(df: DataFrame, order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
     """``df`` with ``_slice``, stored: the numbers rise with ``order`` (unknown values first).
 
     Rows with the same values in ``order`` are told apart by their content and, where whole rows are equal, by the partition they come from,
-    so neither a hot key nor a hot moment nor copies of one row make a slice large.
+    so neither a hot key nor a hot moment nor copies of one row make a slice large. There are as many slices as shuffle partitions, and more of them
+    for a table that would make them larger than ``SLICE_ROWS``.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or max(_shuffle_partitions(df), -(-df.count() // SLICE_ROWS))
     plain = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
     rows = df.withColumn("_from", F.spark_partition_id())
     dealt = rows.repartitionByRange(n, *order, F.xxhash64(*plain), "_from").drop("_from")
     return checkpointed(dealt.withColumn(SLICE, F.spark_partition_id()))
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def side_by_side(rows: DataFrame) -> DataFrame:
+    """Sliced rows laid out for windows per slice: where the slices outnumber the shuffle partitions, over as many partitions as slices."""
+    n = rows.rdd.getNumPartitions()
+    return rows.repartition(n, SLICE) if n > _shuffle_partitions(rows) else rows
+
+
 def per_slice(by: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return W.partitionBy(SLICE, *by).orderBy(*order)
 
@@ -57,5 +70,5 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     """Sliced rows with their 1-based position inside their key."""
     counts = rows.groupBy(SLICE, *by).agg(F.count("*").alias("_n"))
     carried = counts.select(SLICE, *by, F.coalesce(F.sum("_n").over(slices_before(by)), F.lit(0)).alias("_before"))
-    inner = rows.withColumn(name, F.row_number().over(per_slice(by, order)).cast("long"))
+    inner = side_by_side(rows).withColumn(name, F.row_number().over(per_slice(by, order)).cast("long"))
     return join_edges(inner, carried, by).withColumn(name, F.col(name) + F.col("_before")).drop("_before")

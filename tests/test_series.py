@@ -226,3 +226,19 @@ def test_a_short_key_need_not_stop_the_others(series):
     }
     with pytest.raises(ValueError, match="short"):
         ops.split_tail(both, test=2, short="drop")
+
+
+def test_slices_grow_in_number_and_not_in_size(spark, monkeypatch):
+    from obsflow.operators import slices
+
+    rows = spark.range(2000).select("id", F.timestamp_seconds(F.col("id") % 7 * 1000 + F.col("id") / 10).alias("t"))
+    points = spark.range(50).select(F.timestamp_seconds(F.col("id") * 130.0).alias("p"))
+    plain = {r.id: r.nearest for r in ops.nearest_join(rows, points, ts="t", point_ts="p").collect()}
+    before = {r.id: r.previous for r in ops.with_previous(rows, "t").collect()}
+    monkeypatch.setattr(slices, "SLICE_ROWS", 100)
+    sliced = slices.in_slices(rows, ["t"])
+    sizes = [r["count"] for r in sliced.groupBy(slices.SLICE).count().collect()]
+    assert sliced.rdd.getNumPartitions() == 20 and max(sizes) <= 250
+    assert slices.side_by_side(sliced).rdd.getNumPartitions() == 20
+    assert {r.id: r.nearest for r in ops.nearest_join(rows, points, ts="t", point_ts="p").collect()} == plain
+    assert {r.id: r.previous for r in ops.with_previous(rows, "t").collect()} == before
