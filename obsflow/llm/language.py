@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm.text import LETTERS, pieces
+from obsflow.llm.text import LETTERS, WORD_PIECE_BYTES, pieces
 
 BUCKETS, DIM = 1 << 15, 16
 PIECE_GRAMS = 256
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
         m = shared.value
         names = np.array(m["languages"], object)
         for batch in batches:
-            z = [text_logits(m["table"], m["bias"], d, o) for _, _, d, o in pieces(batch.column("t"))]
+            z = [text_logits(m["table"], m["bias"], d, o) for _, _, d, o in pieces(batch.column("t"), WORD_PIECE_BYTES)]
             p = softmax(np.concatenate(z) * m["temperature"]) if z else np.zeros((0, len(names)))
             letter = batch.column("l").to_numpy(zero_copy_only=False).astype(bool)
             pred = np.where(letter, names[p.argmax(axis=1)], "und")

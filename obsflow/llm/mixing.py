@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from obsflow.llm.features import SIZE, present
 from obsflow.llm.language import softmax
-from obsflow.llm.text import IS_SPACE, pieces, word_spans
+from obsflow.llm.text import IS_SPACE, WORD_PIECE_BYTES, pieces, word_spans
 from obsflow.llm.toxicity import rows_of
 from obsflow.session import checkpointed
 
@@ -102,7 +102,7 @@ def posteriors(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
         used, d = weights.any(axis=1), weights.shape[1]
         for batch in batches:
             shares, tokens = [np.zeros((0, d))], [np.zeros(0, np.int64)]
-            for lo, hi, data, offsets in pieces(batch.column(0)):
+            for lo, hi, data, offsets in pieces(batch.column(0), WORD_PIECE_BYTES):  # a worker's memory goes with the piece
                 bucket, text = present(data, offsets, used)
                 z = np.stack([np.bincount(text, weights[bucket, j], minlength=hi - lo) for j in range(d)], axis=1) + bias
                 shares.append(softmax(z))
