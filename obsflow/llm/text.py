@@ -171,3 +171,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A list column from flat values and the bounds of each list."""
     return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(values)).cast(pa.list_(pa.array(values[:0]).type))
+
+
+def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None behind the last."""
+    yield from batches
+    yield None

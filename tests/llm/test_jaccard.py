@@ -109,3 +109,44 @@ def test_words_made_to_share_a_polynomial_hash(llm):
     docs = [(1, f"{word} b c d e"), (2, f"{other} b c d e"), (3, f"{other} b c d e")]
     found = jaccard.jaccard_components(llm.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 2}
+
+
+def test_rarest_signatures_lose_no_similar_pair():
+    rng, bands, seen, kept, whole = np.random.default_rng(2), jaccard.Bands(), 0, 0, 0
+    common = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    for _ in range(1500):
+        n = int(rng.choice([2, 5, 8, 16, 45, 50, 59, 60, 70, 235, 300]))
+        a = np.concatenate([rng.choice(common, n // 2, replace=False), rng.integers(0, 1 << 62, n - n // 2).astype(np.uint64)])
+        b = np.concatenate([a[rng.integers(0, n // 6 + 1) :], rng.integers(0, 1 << 62, rng.integers(0, n // 6 + 1)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 80 * (len(a) + len(b) - shared):
+            every, owner = jaccard.signatures([a, b], bands, frequent=None)
+            both = np.intersect1d(every[owner == 0], every[owner == 1])
+            known = np.unique(np.concatenate([rng.choice(both, len(both) // 2, replace=False), rng.choice(every, len(every) // 4)]))
+            sig, where = jaccard.signatures([a, b], bands, frequent=(known, rng.integers(3, 300, len(known))))
+            assert set(sig[where == 0]) & set(sig[where == 1])
+            seen, kept, whole = seen + 1, kept + len(sig), whole + len(every)
+    assert seen > 300 and kept < 0.7 * whole
+
+
+def test_a_common_passage_makes_few_buckets(llm, rng):
+    passage = sentence(rng, 60)
+    rows = [(i, f"{passage} {sentence(rng, 70)}" if i % 2 else sentence(rng, 130)) for i in range(400)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert jaccard.bucket_table(docs, 5, 80, 0).count() < 100
+
+
+def test_blocks_find_the_pairs_of_open_buckets(llm, rng):
+    words = sentence(rng, 60).split()
+    docs = llm.createDataFrame([(i, " ".join(edited(rng, words, 1 + i % 4))) for i in range(60)], "doc_id long, text string")
+    sets = jaccard.set_table(docs)
+    counted = sets.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n"), "cells")
+    buckets = sets.select(F.lit(1).cast("long").alias("sig"), F.col("set_id").alias("node"), F.pmod("set_id", F.lit(5)).alias("c"))
+    two = (counted.select(F.col("node").alias(x)) for x in ("a", "b"))
+    label = {r.node: r.c for r in buckets.collect()}
+    every = jaccard.possible(next(two).join(next(two), F.col("a") < F.col("b")), counted, 80).collect()
+    want = {(r.a, r.b) for r in every if label[r.a] != label[r.b]}
+    for block in (7, 512):
+        assert {tuple(r) for r in jaccard.block_pairs(buckets, counted, 80, block).collect()} == want
+    assert want
