@@ -28,7 +28,8 @@ MIN_WORDS, UNIT, PASSAGE, STRIDE = 8, 64, 64, 8  # a unit's words fit the bits o
 WIDTHS = (16, 32, 64)  # for units of fewer than 24, fewer than 48, and more words
 RANK, OVERSAMPLE, POWERS = 128, 16, 2
 COSINE, SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.5, 0.8, 0.6, 0.8
-PIECE = 1 << 20
+PIECE = 1 << 18
+CELLS = 1 << 20  # products of windows and units held at once
 
 FOLD = LETTERS.copy()
 FOLD[48:58] = np.arange(48, 58)
@@ -235,7 +236,10 @@ class Searcher:
             start = np.flatnonzero(real & (inside % max(1, done // 2) == 0))
             window = sums[start]
             norm = np.linalg.norm(window, axis=1)
-            row, column = np.nonzero(window @ vectors.T >= np.where(norm > 0, COSINE * norm, np.inf)[:, None])
+            least, height = np.where(norm > 0, COSINE * norm, np.inf)[:, None], max(1, CELLS // len(vectors))
+            near = [np.nonzero(window[i : i + height] @ vectors.T >= least[i : i + height]) for i in range(0, len(window), height)]
+            row = np.concatenate([np.zeros(0, np.int64), *(i * height + r for i, (r, _) in enumerate(near))])
+            column = np.concatenate([np.zeros(0, np.int64), *(c for _, c in near)])
             if not len(row):
                 continue
             s, unit = start[row], members[column]

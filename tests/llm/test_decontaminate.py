@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from obsflow.llm import decontaminate
@@ -54,3 +55,20 @@ def test_odd_rows(odd, none, clashing, llm, items):
     assert decontaminate.without_contaminated(odd, strange).count() == odd.count()
     null_id = llm.createDataFrame([(None, texts[2]), (None, "a clean one")], "doc_id long, text string")
     assert [r.text for r in decontaminate.without_contaminated(null_id, strange).collect()] == ["a clean one"]
+
+
+def test_memory_of_a_search_does_not_grow_with_the_units(rng):
+    import tracemalloc
+
+    from obsflow.llm.text import pieces
+
+    vocabulary, units = decontaminate.cut_units([(i, sentence(rng, 20)) for i in range(2000)])
+    search = decontaminate.Searcher(vocabulary, units, np.random.default_rng(4).standard_normal((len(vocabulary.hashes), 32)))
+    column = pa.array([sentence(rng, 2000) for _ in range(40)])
+    tracemalloc.start()
+    try:
+        for _, _, data, offsets in pieces(column, decontaminate.PIECE):
+            search(data, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
